@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm import decontaminate, line_dedup, piece_codec, sharding, url_filter
+from sievemill.llm import decontaminate, jaccard, line_dedup, piece_codec, quality, sharding, url_filter
 from sievemill.llm.common import table
 
 SHARDS = 16
@@ -39,11 +39,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_ld_lines").alias("n_lines"), removed.alias("n_removed"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.interleave(table(spark, sf_dir, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     sites = F.regexp_extract(url_filter.host_of(F.col("url")), r"(?:^|\.)(" + "|".join(LISTED_SITES) + r")\.", 1)
@@ -54,7 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pieces": op2_pieces,
     "op3_line_dedup": op3_line_dedup,
+    "op5_jaccard": op5_jaccard,
     "op6_sharding": op6_sharding,
+    "op7_quality": op7_quality,
     "op10_url_filter": op10_url_filter,
 }
 
