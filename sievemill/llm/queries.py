@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm import decontaminate, jaccard, line_dedup, piece_codec, quality, sharding, url_filter
+from sievemill.llm import compact_windows, decontaminate, jaccard, license_scan, line_dedup, piece_codec, quality, sharding, url_filter, vector_tree
 from sievemill.llm.common import table
 
 SHARDS = 16
@@ -39,6 +39,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_ld_lines").alias("n_lines"), removed.alias("n_removed"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passages(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     sites = F.regexp_extract(url_filter.host_of(F.col("url")), r"(?:^|\.)(" + "|".join(LISTED_SITES) + r")\.", 1)
@@ -64,9 +76,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pieces": op2_pieces,
     "op3_line_dedup": op3_line_dedup,
+    "op4_compact_windows": op4_compact_windows,
     "op5_jaccard": op5_jaccard,
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
+    "op8_licenses": op8_licenses,
+    "op9_vector_tree": op9_vector_tree,
     "op10_url_filter": op10_url_filter,
 }
 
