@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # without checksum files beside it, which would be wrong once another writer appends
+    return (fs.getRawFileSystem() if fs.getUri().getScheme() == "file" else fs), p
 
 
 def exists(spark: SparkSession, path: str) -> bool:
