@@ -5,8 +5,9 @@
    shingles that several texts of a batch share.
 2. Candidates: sets that link share one of the first n - ceil(0.8 n) + 1 shingles in any common order. The order puts
    the shingles counted most last, so common passages select nobody. Rows (shingle, text, size, place) are dealt by
-   shingle and sorted by size; a pass of constant memory compares each row with the row before it and with the first
-   row of its size band, which is every pair where up to three rows share a shingle. Size and place filters apply.
+   shingle and sorted by place; a pass of constant memory compares each row with the first, with the first of its size
+   band and with the one before it, which is every pair where up to three rows share a shingle. Size and place filters
+   apply.
 3. Tiles: candidates are dealt by the size band of the larger set; bitmaps bound the overlap from above (words of one
    that are surely missing in the other), and only pairs within the bound get the exact intersection of sorted arrays.
    First each text's most frequent candidate is checked, then the others that the links found leave in different classes.
@@ -144,7 +145,11 @@ def _prefixes(source: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """From rows sorted by (key, n, id): kind 0: (a, b, n: keys that propose the pair); kind 1: rows of keys with four texts or more (key, a: id, n, place)."""
+    """From rows sorted by (key, place, n, id): kind 0: (a, b, n: 1); kind 1: rows of keys with four texts or more (key, a: id, n, place).
+
+    The first row of a key is that of the earliest place: its text has the fewest rarer shingles before, as the original
+    of a family of altered copies does, to which all of them are nearer than to each other. So it is the one to meet.
+    """
     names = ["kind", "key", "a", "b", "n", "place"]
 
     def table(kind: int, key: np.ndarray | None, a: np.ndarray, b: np.ndarray | None, n: np.ndarray, place: np.ndarray | None) -> pa.RecordBatch:
@@ -157,23 +162,30 @@ def _candidates(rows: DataFrame) -> DataFrame:
         ok = ids[i] != ids[j]
         low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
         ok &= 100 * low >= NEED * high
-        ok &= 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1 >= least_common(n[i], n[j])
+        ok &= np.minimum(n[i] - place[i], n[j] - place[j]) >= least_common(n[i], n[j])
         x, y = ids[i[ok]], ids[j[ok]]
         return np.stack((np.minimum(x, y), np.maximum(x, y)), 1)
 
+    def first_of_band(c: list[np.ndarray], group: np.ndarray) -> np.ndarray:
+        """For each row the first row of its key and size band."""
+        band = group * 4096 + (np.log(np.maximum(c[2], 1)) / np.log(100 / NEED)).astype(np.int64)
+        _, first, back = np.unique(band, return_index=True, return_inverse=True)
+        return first[back]
+
     def work(c: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of the rows from start on, with rows before them too; and a mask of the rows in large groups."""
-        key, _, n, _ = c
+        key = c[0]
         head = np.concatenate(([True], key[1:] != key[:-1]))
         group = np.cumsum(head)
         size = np.bincount(group)[group]
         j = np.arange(max(start, 1), len(key))
         j = j[~head[j]]
-        first = np.searchsorted(group * (1 << 32) + n, group[j] * (1 << 32) + -(-NEED * n[j] // 100))
-        return np.concatenate((pairs(j - 1, j, c), pairs(np.minimum(first, j), j, c))), size >= 4
+        hub = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))[j]
+        own = first_of_band(c, group)[j]
+        return np.unique(np.concatenate((pairs(j - 1, j, c), pairs(hub, j, c), pairs(own, j, c))), axis=0), size >= 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Holds the rows of the last key until the next begins; of a key with many rows only those a later one can meet: its size band's first and the last."""
+        """Holds the rows of the last key until the next begins; of a key with many rows only those a later one can meet: the first of all and of each size band, and the last."""
         held: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(4)]
         old = large = 0  # rows of held that are done, and whether their key is known to be large
         for batch in batches:
@@ -185,8 +197,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
             if large:
                 many |= c[0] == c[0][0]
             if len(found):
-                found, count = np.unique(found, axis=0, return_counts=True)
-                yield table(0, None, found[:, 0], found[:, 1], count, None)
+                yield table(0, None, found[:, 0], found[:, 1], np.ones(len(found), np.int64), None)
             last = c[0] == c[0][-1]
             done = many & ~last
             done[:old] &= not large  # those were given out before
@@ -200,12 +211,9 @@ def _candidates(rows: DataFrame) -> DataFrame:
                 fresh = slice(before if was_large else 0, None)
                 yield table(1, held[0][fresh], held[1][fresh], None, held[2][fresh], held[3][fresh])
                 large = 1
-                # a later row meets the last one, and the first of at least 0.8 of its size: one row of each size will do
-                keep = np.concatenate(([True], held[2][1:] != held[2][:-1]))
-                keep[-1] = True
+                keep = np.unique(np.append(first_of_band(held, np.zeros(old, np.int64)), [0, old - 1]))
                 held = [x[keep] for x in held]
-                old = len(held[0])
-        return
+                old = len(keep)
 
     return rows.mapInArrow(run, "kind int, key long, a long, b long, n long, place int")
 
@@ -261,7 +269,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     marks = rows.where("n > 0 and id is not null").select("id", "n", "bits")
     same = rows.where("first").join(sets, ["n", "s1", "s2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
-    dealt = _prefixes(source, common).repartition("key").sortWithinPartitions("key", "n", "id")
+    dealt = _prefixes(source, common).repartition("key").sortWithinPartitions("key", "place", "n", "id")
     found = scratch(spark, _candidates(dealt), "candidates")
     pairs = scratch(spark, found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
     large = found.where("kind = 1").select("key", F.col("a").alias("id"), "n", "place")
@@ -277,7 +285,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stars = components(edges)
 
     named = large.join(stars.select(F.col("x").alias("id"), F.col("y")), "id", "left").withColumn("c", F.coalesce("y", "id")).drop("y")
-    split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+    # keys with the same texts propose the same pairs; the earliest in the common order has the smallest places for all
+    mark = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in range(2)]
+    split = named.dropDuplicates(["key", "id", "n", "place"]).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.sum("place").alias("p"), *mark)
+    split = split.where("lo != hi").groupBy("k", "lo", "hi", "m0", "m1").agg(F.min_by("key", F.struct("p", "key")).alias("key")).select("key")
     named = scratch(spark, named.join(split, "key"), "split")
     fits = "l.c < r.c and 100 * least(l.n, r.n) >= {0} * greatest(l.n, r.n) and least(l.n - l.place, r.n - r.place) >= ceil({0} * (l.n + r.n) / {1})".format(NEED, 100 + NEED)
     across = named.alias("l").join(named.alias("r"), F.expr(f"l.key = r.key and {fits}")).selectExpr("l.id a", "r.id b").distinct()
