@@ -296,7 +296,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if not last.isEmpty():
         stars = components(edges.unionByName(last))
 
-    reps = sets.join(stars, sets["rep"] == stars["x"], "left").select("n", "s1", "s2", F.coalesce("y", "rep").alias("c"))
+    # written, so that the join below is between plain exchanges and Spark can split a set that many texts have
+    reps = scratch(spark, sets.join(stars, sets["rep"] == stars["x"], "left").select("n", "s1", "s2", F.coalesce("y", "rep").alias("c")), "classes")
     out = rows.join(reps, ["n", "s1", "s2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
 

@@ -15,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import scratch
+from sievemill.llm.common import bounded, scratch
 
-RANGE_ROWS = 20_000
+#: Rows of a range, and ranges at most; beyond that ranges grow, so that the table of their counts stays small.
+RANGE_ROWS = 2_000
+RANGES = 1_000_000
 
 
 def interleave(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -31,14 +33,13 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str =
     )
     base = scratch(spark, base.withColumn("_u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col, "text_crc32"), 1)), "shard-base")
     total = base.count()
-    ranges = max(1, total // RANGE_ROWS)
-    base = base.withColumn("_r", F.least(F.floor(F.col("_u") / F.lit(2.0**63) * ranges), F.lit(ranges - 1)).cast("long"))
-    by = Window.partitionBy("_s")
-    counts = base.groupBy("_s", "_r").count().select(
-        "_s", "_r",
-        F.coalesce(F.sum("count").over(by.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("count").over(by).alias("_rows"),
-    )
+    per = max(RANGE_ROWS, total // RANGES)
+    ranges = max(1, total // per)
+    sources = bounded(base.groupBy("_s").agg(F.count("*").alias("_rows")))
+    own = F.ceil(F.col("_rows") / per)
+    base = base.join(sources, "_s").withColumn("_r", F.least(F.floor(F.col("_u") / F.lit(2.0**63) * own), own - 1).cast("long"))
+    before = F.sum("count").over(Window.partitionBy("_s").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    counts = base.groupBy("_s", "_r").count().select("_s", "_r", F.coalesce(before, F.lit(0)).alias("_before"))
     order = ["_u", id_col, "text_crc32", "size"]
     rank = F.row_number().over(Window.partitionBy("_s", "_r").orderBy(*order)) - 1 + F.col("_before")
     ranked = base.join(counts, ["_s", "_r"]).withColumn("_f", (rank + F.lit(0.5)) / F.col("_rows")).drop("_r", "_before", "_rows")
