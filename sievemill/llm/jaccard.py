@@ -281,7 +281,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     edges = scratch(spark, same.unionByName(_links(_bound_filter(best, marks), texts)), "links")
     stars = components(edges)
     more = scratch(spark, _links(_bound_filter(_apart(pairs, stars), marks), texts), "links")
-    edges = edges.unionByName(more)
+    edges = stars.toDF("a", "b").unionByName(more)
     stars = components(edges)
 
     named = large.join(stars.select(F.col("x").alias("id"), F.col("y")), "id", "left").withColumn("c", F.coalesce("y", "id")).drop("y")
@@ -294,7 +294,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     across = named.alias("l").join(named.alias("r"), F.expr(f"l.key = r.key and {fits}")).selectExpr("l.id a", "r.id b").distinct()
     last = scratch(spark, _links(_bound_filter(across, marks), texts), "links")
     if not last.isEmpty():
-        stars = components(edges.unionByName(last))
+        stars = components(stars.toDF("a", "b").unionByName(last))
 
     # written, so that the join below is between plain exchanges and Spark can split a set that many texts have
     reps = scratch(spark, sets.join(stars, sets["rep"] == stars["x"], "left").select("n", "s1", "s2", F.coalesce("y", "rep").alias("c")), "classes")

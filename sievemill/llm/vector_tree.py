@@ -6,8 +6,9 @@ is added to the stored vectors (zero for queries), so the tree splits these. Ind
 greedy descent finds, in blocks of at most about BLOCK_ROWS vectors, so a leaf that holds a third of all rows is many
 blocks; a block is one row with a packed matrix. Search: a priority queue walks the tree from the nearest bin on, each
 query visits the first leaves so found, and meets their blocks by a join on the leaf. The number of leaves is calibrated:
-it is doubled until CALIBRATE sampled vectors find TARGET of their true neighbours, which a pass over all vectors, in
-blocks, gives; in the end it is all leaves, which is exact.
+a pass of CALIBRATE sampled vectors over all blocks gives their true neighbours, whose leaves' places in each query's
+walk tell the recall of any number of visits; it is doubled until TARGET is reached, in the end to all leaves, which is
+exact.
 
 Scores are computed in double precision and in one order of addition for every pair, so equal vectors tie exactly.
 
@@ -135,24 +136,24 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return rows[np.lexsort((ids[rows], -scores[rows]))[:k]]
 
 
-def _blocks(index: DataFrame, dim: int) -> DataFrame:
+def _blocks(index: DataFrame, dim: int, kind: str) -> DataFrame:
     """(leaf, ids, vectors): blocks of one leaf, packed as binary."""
     size = index.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
     dealt = index.join(F.broadcast(size), "leaf").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
     def pack(key: tuple, t: pa.Table) -> pa.Table:
         ids = t.column("id").to_numpy().astype("<i8")
-        x = _matrix(t.column("v").combine_chunks(), dim).astype("<f8")
+        x = _matrix(t.column("v").combine_chunks(), dim).astype(kind)
         return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "x": pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())})
 
     return dealt.select("leaf", "part", "id", "v").groupBy("leaf", "part").applyInArrow(pack, "leaf long, ids binary, x binary")
 
 
-def _search(queries: DataFrame, blocks: DataFrame, dim: int, k: int) -> DataFrame:
+def _search(queries: DataFrame, blocks: DataFrame, dim: int, k: int, kind: str) -> DataFrame:
     """queries (leaf, q, v) against the blocks of their leaf: (q, id, score), up to k for each query."""
 
     def gather(key: tuple, t: pa.Table) -> pa.Table:
-        x = np.ascontiguousarray(_matrix(t.column("v").combine_chunks(), dim).astype("<f8"))
+        x = np.ascontiguousarray(_matrix(t.column("v").combine_chunks(), dim).astype(kind))
         return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), "qs": pa.array([t.column("q").to_numpy().astype("<i8").tobytes()], pa.binary()), "y": pa.array([x.tobytes()], pa.binary())})
 
     share = queries.groupBy("leaf").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("parts"))
@@ -162,8 +163,8 @@ def _search(queries: DataFrame, blocks: DataFrame, dim: int, k: int) -> DataFram
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, x, qs, y = (np.frombuffer(batch.column(c)[row].as_py(), t) for c, t in (("ids", "<i8"), ("x", "<f8"), ("qs", "<i8"), ("y", "<f8")))
-                x, y = x.reshape(-1, dim), y.reshape(-1, dim)
+                ids, x, qs, y = (np.frombuffer(batch.column(c)[row].as_py(), t) for c, t in (("ids", "<i8"), ("x", kind), ("qs", "<i8"), ("y", kind)))
+                x, y = x.reshape(-1, dim).astype(np.float64), y.reshape(-1, dim).astype(np.float64)
                 out_q, out_id, out_s = [], [], []
                 about = y @ x.T
                 for i, q in enumerate(qs):
@@ -181,7 +182,7 @@ def _search(queries: DataFrame, blocks: DataFrame, dim: int, k: int) -> DataFram
                 if out_q:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (out_q, out_id, out_s)], ["q", "id", "score"])
 
-    return blocks.join(packed, "leaf").select("ids", "x", "qs", "y").repartition(F.xxhash64("ids", "qs")).mapInArrow(meet, "q long, id long, score double")
+    return blocks.join(packed, "leaf").select("ids", "x", "qs", "y").mapInArrow(meet, "q long, id long, score double")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -196,46 +197,49 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     """(query_id, rank, vec_id, score) for rows of vectors that is_query holds for, against all rows."""
     spark = vectors.sparkSession
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("query")).where("id is not null and v is not null")
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind, held = ("<f4", "array<float>") if single else ("<f8", "array<double>")  # as stored; all arithmetic is in double precision
+    raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(held).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query")).where("id is not null and v is not null")
     sizes = raw.groupBy(F.size("v").alias("n")).count().where("n > 0").orderBy(F.desc("count"), "n").limit(1).collect()
     if not sizes:
         return none
     dim = sizes[0]["n"]
     good = raw.where(usable(F.col("v"), dim))
-    sample = good.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect()
-    if not sample:
+    sample = good.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toArrow().column("v")
+    if not len(sample):
         return none
-    tree = Tree(np.asarray([r["v"] for r in sample], float))
+    tree = Tree(np.concatenate([_matrix(c, dim) for c in sample.chunks if len(c)]).astype(np.float64))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(tree.place(_matrix(batch.column("v"), dim)).astype(np.int64)), batch.column("id"), batch.column("v")], ["leaf", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(tree.place(_matrix(batch.column("v"), dim).astype(np.float64))), batch.column("id"), batch.column("v")], ["leaf", "id", "v"])
 
-    index = good.select("id", "v").mapInArrow(assign, "leaf long, id long, v array<double>")
-    blocks = scratch(spark, _blocks(scratch(spark, index, "leaves"), dim), "blocks")
+    index = scratch(spark, good.select("id", "v").mapInArrow(assign, f"leaf long, id long, v {held}"), "leaves")
+    blocks = scratch(spark, _blocks(index, dim, kind), "blocks")
 
     def visits(rows: DataFrame, leaves: int) -> DataFrame:
+        """(leaf, q, v, place): the first leaves of each query's walk."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                seen = [tree.walk(x, leaves) for x in _matrix(batch.column("v"), dim)]
-                take = np.repeat(np.arange(len(seen)), [len(s) for s in seen])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seen).astype(np.int64)), batch.column("q").take(pa.array(take)), batch.column("v").take(pa.array(take))], ["leaf", "q", "v"])
+                seen = [tree.walk(x, leaves) for x in _matrix(batch.column("v"), dim).astype(np.float64)]
+                take = pa.array(np.repeat(np.arange(len(seen)), [len(s) for s in seen]))
+                place = np.concatenate([np.arange(len(s)) for s in seen]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seen).astype(np.int64)), batch.column("q").take(take), batch.column("v").take(take), pa.array(place)], ["leaf", "q", "v", "place"])
 
-        return rows.mapInArrow(run, "leaf long, q long, v array<double>")
+        return rows.mapInArrow(run, f"leaf long, q long, v {held}, place int")
 
     probe = good.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(CALIBRATE).groupBy(F.col("id").alias("q")).agg(F.max("v").alias("v"))
-    probe = scratch(spark, probe, "probe")
-    # the sampled queries against all blocks
-    truth = scratch(spark, _top(_search(visits(probe, tree.leaves), blocks, dim, k), k).select("q", "id"), "truth")
-    wanted, leaves = truth.count(), 1
-    while leaves < tree.leaves:
-        got = _top(_search(visits(probe, leaves), blocks, dim, k), k).select("q", "id").join(truth, ["q", "id"], "left_semi").count()
-        if got >= target * wanted:
-            break
+    walks = scratch(spark, visits(probe, tree.leaves), "walks")
+    truth = _top(_search(walks.drop("place"), blocks, dim, k, kind), k).select("q", "id")
+    # at most CALIBRATE * k rows, each with one leaf
+    places = index.join(F.broadcast(truth), "id").select("q", "leaf").join(walks.select("q", "leaf", "place"), ["q", "leaf"]).groupBy("place").count().collect()
+    wanted, leaves = sum(r["count"] for r in places), 1
+    while leaves < tree.leaves and sum(r["count"] for r in places if r["place"] < leaves) < target * wanted:
         leaves *= 2
     asked = good.where("query").groupBy(F.col("id").alias("q")).agg(F.max("v").alias("v"))
-    found = _search(visits(asked, min(leaves, tree.leaves)), blocks, dim, k)
+    found = _search(visits(asked, min(leaves, tree.leaves)).drop("place"), blocks, dim, k, kind)
     return _top(found, k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
