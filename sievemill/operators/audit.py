@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemill.functions.vocab import BATCH, CELLS, DOMAINS, PHASES, PROBLEM_TYPES, SCORE_ROLLOUTS
+from sievemill.operators import replay
 
 
 def violations(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
@@ -59,7 +60,7 @@ def replay_checks(groups: DataFrame, size: int = SCORE_ROLLOUTS) -> DataFrame:
     c = F.col
     return violations(groups, "observation_id", {
         "purpose": c("purpose") == "score", "ids": (c("observation_id") != "") & (c("problem_id") != ""), "payload_rows": c("payload_rows") == size,
-        "prompt_hash": c("prompt_hash") == F.sha2(F.to_json("messages"), 256), "answer_hash": c("answer_hash") == F.sha2(F.to_json(F.array("answer")), 256), "verifier_hash": c("verifier_hash") == F.sha2(F.to_json("verifier"), 256),
+        "prompt_hash": c("prompt_hash") == replay.prompt_hash(c("messages")), "answer_hash": c("answer_hash") == replay.answer_hash(c("answer")), "verifier_hash": c("verifier_hash") == replay.verifier_hash(c("verifier.mode"), c("verifier.elements")),
     })
 
 

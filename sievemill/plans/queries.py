@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sievemill.functions import ids
 from sievemill.functions import text as T
 from sievemill.functions.vocab import BAND, CONTAINMENT, NEAR, SHARED
-from sievemill.operators import audit, gates, grid, labeling, novelty, pairing, scoring, selection, tables
+from sievemill.operators import audit, gates, grid, labeling, novelty, pairing, replay, scoring, selection, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -475,3 +475,51 @@ def gate_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("quality", F.when(F.col("quality") == 0, "low_quality")),
     ])
     return gates.funnel(gates.events(docs.withColumn("failure", failure), "doc_id", ["language", "length", "quality"]))
+
+
+# --- replay -----------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT conv_id, turn, sha256('[{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}]') AS prompt_sha, sha256('{"answer":' || CAST(to_json(text) AS VARCHAR) || '}') AS answer_sha, sha256('{"verifier":{"mode":' || CAST(to_json(role) AS VARCHAR) || '}}') AS verifier_sha FROM conversations""")
+def replay_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    messages = F.array(F.struct(F.col("role"), F.col("text").alias("content")))
+    return turns.select("conv_id", "turn", replay.prompt_hash(messages).alias("prompt_sha"), replay.answer_hash(F.col("text")).alias("answer_sha"), replay.verifier_hash(F.col("role"), F.lit(None).cast("array<string>")).alias("verifier_sha"))
+
+
+@query("SELECT o_custkey AS group_id, CASE WHEN lo IS NOT DISTINCT FROM hi THEN coalesce(lo, 0) END AS rows, CASE WHEN lo <> hi THEN 'inconsistent_row_counts' END AS fault FROM (SELECT o_custkey, min(nullif(o_orderkey % 3, 0)) AS lo, max(nullif(o_orderkey % 3, 0)) AS hi FROM orders GROUP BY 1)")
+def payload_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("group_id"), (F.col("o_orderkey") % 3).alias("size"))
+    return replay.payload_rows(rows, "group_id", "size")
+
+
+CALLS_SQL = "r AS (SELECT l_orderkey AS call, count(*) AS rows, CASE WHEN sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) = 0 THEN 'passthrough' WHEN sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) = count(*) THEN 'served' ELSE 'failed' END AS route FROM lineitem GROUP BY 1)"
+
+
+@query(f"WITH {CALLS_SQL} SELECT * FROM r")
+def replay_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.routed(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("call"), (F.col("l_linestatus") == "O").alias("marked")), "call", "marked")
+
+
+@query(f"WITH {CALLS_SQL}, g AS (SELECT count(*) AS captured_groups, CAST(sum(p_size) AS BIGINT) AS captured_rows FROM part) SELECT g.*, s.* FROM g, (SELECT count(*) FILTER (route = 'served') AS served_batches, CAST(coalesce(sum(rows // 2) FILTER (route = 'served'), 0) AS BIGINT) AS served_groups, CAST(coalesce(sum(rows) FILTER (route = 'served'), 0) AS BIGINT) AS served_rows, count(*) FILTER (route = 'passthrough') AS passthrough_calls, count(*) FILTER (route = 'failed') AS failed_calls FROM r) s")
+def replay_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.stats(read(spark, sf_dir, "part").withColumnRenamed("p_size", "payload_rows"), replay_routes(spark, sf_dir), 2)
+
+
+@query(f"WITH {BATCH_SQL} SELECT CAST(seat AS BIGINT) AS seat, CAST(i AS BIGINT) AS sample_index, problem_id, rq FROM batch, (SELECT unnest(range(0, 8)) AS i)")
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = _batch(spark, sf_dir).select("problem_id", "seat")
+    groups = _daily(spark, sf_dir).where(F.col("iteration") == DAY).select("problem_id", "rq")
+    return replay.dataset_rows(batch, groups, "problem_id", 8).select(long("seat"), long("sample_index"), "problem_id", "rq")
+
+
+@query(f"WITH u AS (SELECT {EVENT_DAY} AS day, user_id, count(*) FILTER (event_type = 'signup') AS u, count(*) FILTER (event_type = 'view') AS s FROM events GROUP BY 1, 2) SELECT user_id || '/' || day AS key, CASE WHEN u > 1 THEN 'several_updates' WHEN s > 1 THEN 'several_batches' WHEN u > s THEN 'update_without_batch' ELSE 'batch_not_consumed' END AS fault FROM u WHERE u > 1 OR s > 1 OR u <> s")
+def consumed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = read(spark, sf_dir, "events").select(F.concat_ws("/", F.col("user_id"), F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))).alias("iteration"), "event_type")
+    return replay.consumed_once(days.where("event_type = 'view'"), days.where("event_type = 'signup'"))
+
+
+@query("SELECT o_orderpriority AS wave, count(DISTINCT o_custkey) FILTER (o_orderstatus = 'O') AS parsed, count(DISTINCT o_custkey) FILTER (o_orderstatus = 'F') AS labelled FROM orders GROUP BY 1")
+def wave_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("wave"), F.col("o_custkey").alias("candidate_id"), F.col("o_orderstatus").alias("phase"), F.lit("passed").alias("status"))
+    return replay.wave_funnel(log, "wave", {"parsed": "O", "labelled": "F"})

@@ -1,14 +1,15 @@
 """Operators on small tables, against plain Python."""
 
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from sievemill.operators import audit, grid, labeling, pairing, selection, tables
+from sievemill.operators import audit, grid, labeling, pairing, replay, selection, tables
 from sievemill.plans import cycle, inspect
 from sievemill.plans.cases import _cut
-from sievemill.sources import config, logs, prompts, schemas
+from sievemill.sources import artifacts, config, logs, prompts, schemas
 from sievemill.streaming import ingest
 
 
@@ -157,7 +158,13 @@ def test_prompts(spark):
 
 def test_audits(spark):
     groups = spark.createDataFrame([("o1", "p1", "score", 8, [("user", "q")], "7", ("expression", None), 1, 4), ("o2", "", "label", 7, [("user", "q")], "7", ("expression", None), 1, 4)], "observation_id string, problem_id string, purpose string, payload_rows int, messages array<struct<role:string,content:string>>, answer string, verifier struct<mode:string,elements:array<string>>, policy int, iteration int")
-    good = groups.withColumns({"prompt_hash": F.sha2(F.to_json("messages"), 256), "answer_hash": F.sha2(F.to_json(F.array("answer")), 256), "verifier_hash": F.sha2(F.to_json("verifier"), 256)})
+    good = groups.withColumns({"prompt_hash": replay.prompt_hash(F.col("messages")), "answer_hash": replay.answer_hash(F.col("answer")), "verifier_hash": replay.verifier_hash(F.col("verifier.mode"), F.col("verifier.elements"))})
+    row = good.first()
+    sha = lambda v: hashlib.sha256(logs.stable_json(v).encode()).hexdigest()
+    assert (row["prompt_hash"], row["answer_hash"], row["verifier_hash"]) == (sha([{"role": "user", "content": "q"}]), sha({"answer": "7"}), sha({"verifier": {"mode": "expression"}}))
+    one = spark.createDataFrame([("set", ["a", "b"], ("u", 1, 2, 3, "c"))], "m string, e array<string>, p struct<run_uuid:string,policy_version:int,adapter_version:int,global_step:int,source_checkpoint:string>")
+    got = one.select(replay.verifier_hash(F.col("m"), F.col("e")).alias("v"), replay.policy_hash(F.col("p")).alias("p")).first()
+    assert (got["v"], got["p"]) == (sha({"verifier": {"mode": "set", "elements": ["a", "b"]}}), sha({"run_uuid": "u", "policy_version": 1, "adapter_version": 2, "global_step": 3, "source_checkpoint": "c"}))
     assert {tuple(r) for r in audit.replay_checks(good).collect()} == {("o2", "purpose"), ("o2", "ids"), ("o2", "payload_rows")}
     assert {tuple(r) for r in audit.buffer_checks(good).collect()} == {("*", "group_size")}
     assert audit.buffer_checks(good.limit(0)).count() == 0
@@ -202,3 +209,26 @@ def test_greedy_keeps_what_a_loop_keeps(spark):
     table = spark.createDataFrame([(1, a, b) for a, b in edges], "wave int, rank int, better int")
     out = novelty.greedy_keep(rows, table, "wave", "rank", _cut(spark)).where("kept").orderBy("rank").collect()
     assert [r["rank"] for r in out] == kept
+
+
+def test_artifacts_are_made_once(spark, tmp_path):
+    root, made = str(tmp_path), []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([("p", 1), ("q", 2)], "id string, v int")
+
+    for _ in range(2):
+        assert artifacts.cached(spark, root, "pairs", 3, 2, make).count() == 2
+    assert made == [1]
+    with pytest.raises(ValueError, match="planned"):
+        artifacts.cached(spark, root, "pairs", 3, 5, make)
+    artifacts.write(make(), root, "pairs", 4)
+    assert artifacts.read(spark, root, "pairs", (4,)).select("iteration").distinct().collect()[0][0] == 4 and artifacts.read(spark, root, "pairs").count() == 4
+
+
+def test_manifests():
+    one = artifacts.manifest({"seed": 1, "training": {"resume_mode": "auto", "steps": 2}}, {"seeds": "ab"}, "u", "x")
+    two = artifacts.manifest({"seed": 1, "training": {"resume_mode": "off", "steps": 2}}, {"seeds": "ab"}, "u", "y")
+    assert artifacts.manifest_changes(one, two) == []
+    assert artifacts.manifest_changes(one, artifacts.manifest({"seed": 2}, {"seeds": "ac"}, "u")) == ["config", "sha256"]
