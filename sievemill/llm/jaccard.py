@@ -8,8 +8,9 @@
    shingle and sorted by place; a pass of constant memory compares each row with the first, with the first of its size
    band and with the one before it, which is every pair where up to three rows share a shingle. Size and place filters
    apply.
-3. Tiles: candidates are dealt by the size band of the larger set; bitmaps bound the overlap from above (words of one
-   that are surely missing in the other), and only pairs within the bound get the exact intersection of sorted arrays.
+3. Tiles: candidates are compared in tiles of one size band each side, whose bitmaps have one width; counts of bits that
+   one side has alone bound the overlap from above, and only pairs within the bound get the exact intersection of sorted
+   arrays.
    First each text's most frequent candidate is checked, then the others that the links found leave in different classes.
 4. Where four or more rows share a shingle, all its pairs that are still in different classes are checked, so no link
    that would join two classes is lost. Pairs within a class need no check, as the result is the classes.
@@ -62,17 +63,29 @@ def bitmap(x: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def overlap_bound(n: int, x: bytes, m: int, y: bytes) -> int:
-    """No intersection of the two sets is larger."""
-    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
-    wide, narrow = len(x) * 8, len(y) * 8
-    while wide > narrow:
-        wide //= 2
-        a = (a >> wide) | (a & ((1 << wide) - 1))
-    while narrow > wide:
-        narrow //= 2
-        b = (b >> narrow) | (b & ((1 << narrow) - 1))
-    return min(n - (a & ~b).bit_count(), m - (b & ~a).bit_count())
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (a row each) brought to a smaller width: a hash's bit there is its bit here modulo the width."""
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
+def overlap_bounds(n: np.ndarray, xs: list[bytes], m: np.ndarray, ys: list[bytes]) -> np.ndarray:
+    """For each pair of sets (sizes and bitmaps) a number that their intersection does not exceed.
+
+    Pairs are taken in tiles of one size band each side, whose bitmaps are matrices of one width. A bit set on one side
+    alone stands for at least one element that the other lacks.
+    """
+    out = np.zeros(len(xs), np.int64)
+    wide, narrow = np.fromiter(map(len, xs), np.int64, len(xs)), np.fromiter(map(len, ys), np.int64, len(ys))
+    for p, q in {*zip(wide.tolist(), narrow.tolist(), strict=True)}:
+        tile = np.flatnonzero((wide == p) & (narrow == q))
+        a, b = (np.frombuffer(b"".join(v[i] for i in tile), np.uint8).reshape(len(tile), -1) for v in (xs, ys))
+        a, b = _folded(a, min(p, q)), _folded(b, min(p, q))
+        lost, lacking = (np.bitwise_count(v).sum(1, dtype=np.int64) for v in (a & ~b, b & ~a))
+        out[tile] = np.minimum(n[tile] - lost, m[tile] - lacking)
+    return out
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -219,15 +232,16 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
 
 def _bound_filter(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those whose sizes and bitmaps allow a link, with the tile they belong to."""
+    """Of the pairs (a, b) those whose sizes and bitmaps allow a link."""
     one = marks.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("bits").alias("ab"))
     two = marks.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bb"))
     joined = pairs.select("a", "b").join(one, "a").join(two, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in ("an", "ab", "bn", "bb")), strict=True)
-            keep = [100 * min(n, m) >= NEED * max(n, m) and 100 * (o := overlap_bound(n, x, m, y)) >= NEED * (n + m - o) for n, x, m, y in rows]
+            n, m = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("an", "bn"))
+            most = overlap_bounds(n, batch.column("ab").to_pylist(), m, batch.column("bb").to_pylist())
+            keep = (100 * np.minimum(n, m) >= NEED * np.maximum(n, m)) & (100 * most >= NEED * (n + m - most))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, "a long, b long").distinct()

@@ -82,10 +82,14 @@ def test_edges(docs):
 
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(1)
-    for _ in range(400):
-        pool = rng.integers(0, 2**63, 600, dtype=np.uint64)
-        x, y = (shingles.distinct(rng.choice(pool, rng.integers(1, 500))) for _ in range(2))
-        assert j.overlap_bound(len(x), j.bitmap(x), len(y), j.bitmap(y)) >= shingles.common(x, y) == len(np.intersect1d(x, y))
+    pool = rng.integers(0, 2**63, 600, dtype=np.uint64)
+    some = [[shingles.distinct(rng.choice(pool, rng.integers(1, 500))) for _ in range(400)] for _ in range(2)]
+    n, m = (np.array([len(x) for x in v]) for v in some)
+    most = j.overlap_bounds(n, [j.bitmap(x) for x in some[0]], m, [j.bitmap(x) for x in some[1]])
+    exact = np.array([len(np.intersect1d(x, y)) for x, y in zip(*some, strict=True)])
+    assert (most >= exact).all() and exact.tolist() == [shingles.common(x, y) for x, y in zip(*some, strict=True)]
+    same = j.overlap_bounds(n, [j.bitmap(x) for x in some[0]], n, [j.bitmap(x) for x in some[0]])
+    assert same.tolist() == n.tolist()
 
 
 def test_batches_do_not_matter(spark, docs, prose):
