@@ -37,7 +37,8 @@ def words(text: Column) -> Column:
 def _seeds(df: DataFrame, masks: tuple[tuple[int, ...], ...], keep: list[str]) -> DataFrame:
     """A row for each mask and place where it fits: keep, _p (the place), _h (the hash)."""
     size = F.size("_w")
-    placed = df.where(size >= SHORT).select(*keep, "_w", F.explode_outer(F.sequence(F.lit(0), size - 1)).alias("_p"))
+    # texts without room for a mask give null hashes; a filter by length would be pushed below the words and hash texts twice
+    placed = df.select(*keep, "_w", F.explode_outer(F.sequence(F.lit(0), size - 1)).alias("_p"))
 
     def seed(mask: tuple[int, ...]) -> Column:
         at = [F.get(F.col("_w"), F.col("_p") + o) for o in mask]
