@@ -28,13 +28,15 @@ def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")).alias("t")))
     full = F.transform(F.filter(numbered, lambda x: x["t"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["t"]).alias("a"), F.xxhash64(x["t"], F.lit(1)).alias("b")))
-    base = docs.select(F.col(id_col).alias("_ld_id"), _key(F.col(text_col)).alias("_ld_k"), full.alias("_f")).where(F.size("_f") >= WINDOW)
+    base = docs.select(F.col(id_col).alias("_ld_id"), _key(F.col(text_col)).alias("_ld_k"), full.alias("_f"))
 
     def one(k: Column) -> Column:
         x, y, z = (F.get(F.col("_f"), k + j) for j in range(WINDOW))
         return F.struct(F.array(x["i"], y["i"], z["i"]).alias("at"), F.xxhash64(x["a"], y["a"], z["a"]).alias("h1"), F.xxhash64(x["b"], y["b"], z["b"]).alias("h2"))
 
-    found = base.select("_ld_id", "_ld_k", F.explode_outer(F.transform(F.sequence(F.lit(0), F.size("_f") - WINDOW), one)).alias("_w"))
+    # texts of too few lines give null; a filter by their number would be pushed below and split every text twice
+    all_ = F.when(F.size("_f") >= WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_f") - WINDOW)), one))
+    found = base.select("_ld_id", "_ld_k", F.explode_outer(all_).alias("_w")).where("_w is not null")
     return found.select("_ld_id", "_ld_k", F.col("_w.at").alias("_ld_at"), F.col("_w.h1").alias("_ld_h1"), F.col("_w.h2").alias("_ld_h2"))
 
 
