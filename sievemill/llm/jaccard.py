@@ -97,7 +97,7 @@ def _profile(source: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in shingles.pieces(batches, "w"):
             n, s1, s2, bits, first, fresh = [], [], [], [], [], []
             for i, x in zip(batch.column("id").to_pylist(), shingles.sets(batch.column("w")), strict=True):
                 one = int(shingles.mixed(x).sum(dtype=np.uint64).astype(np.int64))
@@ -129,7 +129,7 @@ def _prefixes(source: DataFrame, common: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in shingles.pieces(batches, "w"):
             ids, keys, sizes, places = batch.column("id").to_pylist(), [], [], []
             out_ids = []
             for i, x in zip(ids, shingles.sets(batch.column("w")), strict=True):

@@ -219,9 +219,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     names = [id_col, "line", "family", "probability", "likeness", "confirmed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in shingles.pieces(batches, "_w"):
             h, offsets = shingles.flat(batch.column("_w"))
             feed = h == mark
             line = np.cumsum(feed)

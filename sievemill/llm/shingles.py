@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from sievemill.llm.common import ws_words
 
 WORDS = 5
+MOST_WORDS = 1 << 22
 _rng = np.random.default_rng(20240607)
 #: Odd multipliers, one for each place in a shingle.
 PLACE = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -33,6 +36,16 @@ def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False).view(np.uint64)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces of at most MOST_WORDS words, or of one row, so that long texts do not multiply what a task holds."""
+    for batch in batches:
+        offsets, start = batch.column(column).offsets.to_numpy(), 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + MOST_WORDS, side="right")) - 1)
+            yield batch.slice(start, min(stop, batch.num_rows) - start)
+            start = min(stop, batch.num_rows)
+
+
 def places(values: np.ndarray) -> np.ndarray:
     """Hash of the shingle that starts at each place; the last four places are short."""
     if len(values) < WORDS:
