@@ -6,8 +6,9 @@ size over the length says whether it repeats itself, where the difference is sma
 over both, fitted on labelled texts that no dictionary has seen, gives the score.
 
 Learning takes a bounded sample: FIT_ROWS labelled rows of each class, in hash order, half for the dictionaries (one
-block at a hashed place of each text) and half for the curve (texts of at most FIT_BYTES bytes). Scoring takes all rows
-and whole texts.
+block at a hashed place of each text) and half for the curve (texts of at most FIT_BYTES bytes). The curve weighs each
+class's rows by how many labels one of them stands for, so the share of good texts in it is that of all usable labels at
+every size. Scoring takes all rows and whole texts.
 
 Defined cases: null and empty texts get the score of an empty text; without labels of both classes to learn from, all
 scores are 0.5; labels other than 0 and 1 are ignored; of repeated rows each is scored; empty tables give no rows. Other
@@ -74,16 +75,18 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def _logistic(x: list[tuple[float, ...]], y: list[int]) -> tuple[float, ...]:
-    """Weights of a logistic curve by Newton steps, slightly held to zero. Each row counts alike, so scores keep the share of good texts."""
+def _logistic(x: list[tuple[float, ...]], y: list[int], stands: dict[int, float]) -> tuple[float, ...]:
+    """Weights of a logistic curve by Newton steps, slightly held to zero. A row counts as the labels of its class that it stands for, so scores keep the share of good texts."""
     import numpy as np
 
     a, t = np.asarray(x, float), np.asarray(y, float)
+    count = np.asarray([stands[v] for v in y])
+    count /= count.mean()
     w = np.zeros(a.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (t - p) - 0.05 * w
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 0.05 * np.eye(len(w)), grad)
+        grad = a.T @ (count * (t - p)) - 0.05 * w
+        step = np.linalg.solve((a * (count * p * (1 - p))[:, None]).T @ a + 0.05 * np.eye(len(w)), grad)
         w += step * min(1.0, 4 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-8:
             break
@@ -100,6 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for value in (0, 1):
         some = known.where(F.col("_y") == value).orderBy(order, "_id").limit(FIT_ROWS)
         picked = some if picked is None else picked.unionByName(some)
+    usable = {int(r["_y"]): r["count"] for r in known.where(F.col("_y").isin(0, 1)).groupBy("_y").count().collect()}
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     # at most 2 * FIT_ROWS ids: bounded by the parameter
     rows = texts.join(F.broadcast(picked.select("_id", "_y")), "_id")
@@ -120,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             return b"".join(texts)[-DICTIONARY_BYTES:]
 
     scorer = Scorer(dictionary(by[1]), dictionary(by[0]))
-    scorer.weights = _logistic([scorer.features(t) for t, _ in curve], [y for _, y in curve])
+    scorer.weights = _logistic([scorer.features(t) for t, _ in curve], [y for _, y in curve], {y: n / min(n, FIT_ROWS) for y, n in usable.items()})
     return scorer
 
 

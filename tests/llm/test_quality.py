@@ -31,3 +31,12 @@ def test_edges(spark, docs, prose):
     assert quality.score(docs([]), scorer).count() == 0
     odd = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (3, 5)], "doc_id long, quality int")
     assert quality.train(docs(rows), odd).weights == ()
+
+
+def test_scores_keep_the_share_when_the_sample_is_cut(spark, docs, prose, monkeypatch):
+    """Texts that tell nothing of their label get the share of good labels, of which the sample takes as many as bad ones."""
+    monkeypatch.setattr(quality, "FIT_ROWS", 150)
+    rows = [(i, prose(60, i)) for i in range(1800)]
+    labels = spark.createDataFrame([(i, int(i % 7 != 0)) for i, _ in rows], "doc_id long, quality int")
+    got = [r["score"] for r in quality.score(docs(rows), quality.train(docs(rows), labels)).collect()]
+    assert 0.78 <= sum(got) / len(got) <= 0.92
