@@ -1,14 +1,16 @@
 """Licence scan by a trained paragraph classifier: sparse word n-grams, logistic regression, template comparison.
 
-The model is trained here, on paragraphs made from TEMPLATES: whole and cut, with words dropped and put in, inside other
+The model is trained here, on paragraphs made from TEMPLATES: whole, with words dropped, inside other
 text; paragraphs without a licence, some with its vocabulary; and notices of licences that are no template's, for the
 unknown class. Features are hashed words and pairs of neighbours. A first logistic model says whether a paragraph holds a
 licence notice; a softmax over families says which. The least probability to name a family is calibrated on made
 paragraphs that were not trained on, so that at most 1 in 100 named families is wrong; below it the class is "unknown".
 A named family is confirmed if enough of a template's word pairs stand in the paragraph; unconfirmed it is "unknown" too.
 
-Paragraphs are lines. One of more than WINDOW words is read in windows of WINDOW words that overlap by half, so a notice
-within a long line is seen as well as one that stands alone, and every word is read. Rows are scored in one pass, without
+Lines are read, and paragraphs of several lines between blank ones, joined, as notices are often wrapped. What has more
+than WINDOW words is read in windows of WINDOW words that overlap by half, so a notice within a long line is seen as well as
+one that stands alone, and every word is read. A notice of a paragraph is told at the line where it begins, in place of
+unknown pieces that its lines gave; a paragraph adds an unknown notice only where its lines gave nothing. Rows are scored in one pass, without
 a shuffle; memory is bounded by the batch.
 
 Defined cases: null, empty and blank texts have no paragraph and give no row; repeated rows give repeated results; empty
@@ -185,6 +187,25 @@ class Classifier:
         own = np.unique(_pairs(h)) if len(h) > 1 else np.zeros(0, np.uint64)
         return max(shingles.common(t, own) / max(1, len(t)) for i, t in self.templates if i == family)
 
+    def extent(self, family: int, h: np.ndarray) -> tuple[int, int]:
+        """First and last word of where the window is like the family's templates."""
+        every = np.concatenate([t for i, t in self.templates if i == family])
+        top, total, start, found = 0.0, 0.0, 0, (0, len(h) - 1)
+        for k, hit in enumerate(np.isin(_pairs(h), every).tolist()):
+            if total <= 0:
+                total, start = 0.0, k
+            total += 1 if hit else -0.5
+            if total > top:
+                top, found = total, (start, k + 1)
+        return found
+
+    def evidence(self, h: np.ndarray) -> np.ndarray:
+        """What each word and the pair that it begins add to the score of a notice."""
+        one, two = slots(h)
+        out = self.is_notice[one, 0].astype(np.float64)
+        out[: len(two)] += self.is_notice[two, 0]
+        return out
+
     def windows(self, h: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(starts, ends) of the windows: lines without their breaks, long ones cut with overlap."""
         edge = np.concatenate(([-1], np.flatnonzero(breaks), [len(h)]))
@@ -212,7 +233,7 @@ def classifier() -> Classifier:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line: from 0, family or "unknown", probability, likeness, confirmed) for each line with a notice; of a line's windows, the best of each family."""
+    """(id, line: from 0, family or "unknown", probability, likeness, confirmed) for each line on which a notice begins; of its windows, the best of each family."""
     model = classifier()
     mark = hash_of([LINE_FEED])[0]
     source = docs.select(F.col(id_col), word_hashes(F.col(text_col)).alias("_w"))
@@ -230,19 +251,69 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 if y > x:
                     a, b = model.windows(h[x:y], breaks[x:y])
                     starts.append(a + x), ends.append(b + x)
-            rows = {}
+            rows: dict[tuple[int, int, str], tuple[float, float, bool]] = {}
+
+            def judged(window: np.ndarray) -> tuple[int, float, float, bool]:
+                _, p = model.probabilities(window)
+                best = int(p.argmax())
+                alike = model.likeness(best, window)
+                return best, float(p[best]), float(alike), bool(p[best] >= model.least and alike >= CONFIRM)
+
+            def put(doc: int, at: int, family: str, p: float, alike: float, sure: bool) -> None:
+                if (doc, at, family) not in rows or rows[doc, at, family][0] < p:
+                    rows[doc, at, family] = (p, alike, sure)
+
+            def line_of(doc: int, word: int) -> int:
+                return int(line[word] - (line[offsets[doc] - 1] if offsets[doc] else 0))
+
             if starts:
                 a, b = np.concatenate(starts), np.concatenate(ends)
                 for i in model.notices(h, a, b).tolist():
-                    window = h[a[i] : b[i]]
-                    _, p = model.probabilities(window)
-                    best = int(p.argmax())
-                    alike = model.likeness(best, window)
-                    sure = p[best] >= model.least and alike >= CONFIRM
+                    best, p, alike, sure = judged(h[a[i] : b[i]])
                     doc = int(np.searchsorted(offsets, a[i], side="right")) - 1
-                    key = (doc, int(line[a[i]] - (line[offsets[doc] - 1] if offsets[doc] else 0)), FAMILIES[best] if sure else UNKNOWN)
-                    if key not in rows or rows[key][0] < p[best]:
-                        rows[key] = (float(p[best]), float(alike), bool(sure))
+                    put(doc, line_of(doc, a[i]), FAMILIES[best] if sure else UNKNOWN, p, alike, sure)
+            # paragraphs: without the line feeds that stand alone; those of blank lines end them
+            alone = feed.copy()
+            alone[1:] &= ~feed[:-1]
+            alone[:-1] &= ~feed[1:]
+            word = np.flatnonzero(~alone)
+            joined, limits = h[word], np.searchsorted(word, offsets)
+            starts, ends = [], []
+            for x, y in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True):
+                if y > x:
+                    a, b = model.windows(joined[x:y], feed[word[x:y]])
+                    starts.append(a + x), ends.append(b + x)
+            if starts:
+                a, b = np.concatenate(starts), np.concatenate(ends)
+                several = line[word[a]] != line[word[b - 1]]
+                a, b = a[several], b[several]
+                open_ = []
+                named = {k[:2] for k in rows if k[2] != UNKNOWN}
+                begun: dict[tuple[int, int, str], int] = {}  # for the lines of a paragraph's notice the one that it begins on
+                for i in model.notices(joined, a, b).tolist():
+                    doc = int(np.searchsorted(offsets, word[a[i]], side="right")) - 1
+                    window = joined[a[i] : b[i]]
+                    best, p, alike, sure = judged(window)
+                    if not sure:
+                        open_.append((doc, a[i], b[i], p, alike))
+                        continue
+                    first, last = (line_of(doc, word[a[i] + k]) for k in model.extent(best, window))
+                    if first == last and (doc, first) in named:
+                        continue  # within one line, which its own windows have judged
+                    mine = [(doc, k, FAMILIES[best]) for k in range(first, last + 1)]
+                    at = next((begun.get(k, k[1]) for k in mine if k in begun or k in rows), first)
+                    put(doc, at, FAMILIES[best], p, alike, sure)
+                    for k in mine:
+                        rows.pop((doc, k[1], UNKNOWN), None)
+                        begun[k] = at
+                told = {k[:2] for k in rows} | {k[:2] for k in begun}
+                for doc, x, y, p, alike in open_:
+                    lines = range(line_of(doc, word[x]), line_of(doc, word[y - 1]) + 1)
+                    if not any((doc, k) in told for k in lines):
+                        weight = np.bincount(line[word[x:y]] - line[word[x]], model.evidence(joined[x:y]))
+                        at = lines[0] + int(weight.argmax())
+                        put(doc, at, UNKNOWN, p, alike, False)
+                        told.add((doc, at))
             keys = sorted(rows)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k[0] for k in keys], pa.int64())), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([rows[k][0] for k in keys], pa.float64()), pa.array([rows[k][1] for k in keys], pa.float64()), pa.array([rows[k][2] for k in keys], pa.bool_())], names)
 

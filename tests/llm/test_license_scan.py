@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -41,3 +42,30 @@ def test_batch_scores_equal_single_ones(docs, prose):
     assert found == {i for i in range(len(a)) if model.probabilities(h[a[i] : b[i]])[0] >= cut}
     spark_hash = docs([(1, text)]).select(ls.word_hashes(F.col("text")).alias("w")).first()["w"]
     assert np.asarray(spark_hash, np.int64).view(np.uint64).tolist() == h.tolist()
+
+
+GPL = "{} is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
+APACHE = "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+
+
+def test_headers_wrapped_over_lines(docs, prose):
+    heads = [(GPL.format("This program"), "GPL-3.0"), (GPL.format("Wombat"), "GPL-3.0"), (BSD, "BSD-3-Clause"), (MIT, "MIT"), (APACHE, "Apache-2.0")]
+    rows = []
+    for k, (head, _) in enumerate(heads):
+        for n, mark in enumerate(("", "# ", " * ")):
+            lines = [f"{mark}{x}" for x in textwrap.wrap(head, 72 - len(mark))]
+            rows.append((10 * k + n, "\n".join([f"{mark}{prose(8, k)}", mark, *lines, mark, f"{mark}{prose(8, 50 + k)}"])))
+    got = {}
+    for r in ls.scan(docs(rows)).collect():
+        got.setdefault(r["doc_id"], []).append((r["line"], r["family"]))
+    for k, (_, family) in enumerate(heads):
+        for n in range(3):
+            found = got[10 * k + n]
+            assert {f for _, f in found} == {family} and min(found)[0] in (2, 3), (rows[3 * k + n], found)
+
+
+def test_lines_beside_a_notice_do_not_rename_it(docs, prose):
+    rows = [(1, "Released under the MIT License.\n" + "An " * 40), (2, prose(9, 1) + "\nThis work is licensed under the GNU General Public License, version 3.\n" + prose(9, 2))]
+    assert {tuple(r)[:3] for r in ls.scan(docs(rows)).collect()} == {(1, 0, "MIT"), (2, 1, "GPL-3.0")}
