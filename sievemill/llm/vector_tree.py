@@ -8,7 +8,7 @@ blocks; a block is one row with a packed matrix. Search: a priority queue walks
 query visits the first leaves so found, and meets their blocks by a join on the leaf. The number of leaves is calibrated:
 a pass of CALIBRATE sampled vectors over all blocks gives their true neighbours, whose leaves' places in each query's
 walk tell the recall of any number of visits; it is doubled until TARGET is reached, in the end to all leaves, which is
-exact.
+exact. A query whose leaves hold fewer than k vectors of other ids walks on until they do.
 
 Scores are computed in double precision and in one order of addition for every pair, so equal vectors tie exactly.
 
@@ -83,12 +83,12 @@ class Tree:
             live = live[self.count[node[live]] > 0]
         return node
 
-    def walk(self, query: np.ndarray, leaves: int) -> list[int]:
-        """The first leaves, best bin first: a queue holds the branches not taken by their centres' distance. The query is scaled to the stored norm, which changes no ranking."""
+    def walk(self, query: np.ndarray, leaves: int, rows: int, sizes: np.ndarray) -> list[int]:
+        """The first leaves, and more until they hold that many rows by the nodes' sizes, best bin first: a queue holds the branches not taken by their centres' distance. The query is scaled to the stored norm, which changes no ranking."""
         scale = np.sqrt(self.norm) / max(np.sqrt(np.sum(query * query)), 1e-300)
         point = np.append(query * scale, 0.0)
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < leaves:
+        queue, found, held = [(0.0, 0)], [], 0
+        while queue and (len(found) < leaves or held < rows):
             _, node = heapq.heappop(queue)
             while self.count[node]:
                 a, n = self.first[node], self.count[node]
@@ -99,6 +99,7 @@ class Tree:
                         heapq.heappush(queue, (float(d[i]), int(a + i)))
                 node = int(a + best)
             found.append(node)
+            held += int(sizes[node])
         return found
 
 
@@ -218,21 +219,25 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     index = scratch(spark, good.select("id", "v").mapInArrow(assign, f"leaf long, id long, v {held}"), "leaves")
     blocks = scratch(spark, _blocks(index, dim, kind), "blocks")
 
+    sizes = np.zeros(len(tree.centres), np.int64)
+    for r in index.groupBy("leaf").count().collect():  # a row for each leaf of the tree
+        sizes[r["leaf"]] = r["count"]
+
     def visits(rows: DataFrame, leaves: int) -> DataFrame:
-        """(leaf, q, v, place): the first leaves of each query's walk."""
+        """(leaf, q, v, place): the first leaves of each query's walk, in which own rows have the query's id."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                seen = [tree.walk(x, leaves) for x in _matrix(batch.column("v"), dim).astype(np.float64)]
+                seen = [tree.walk(x, leaves, k + n, sizes) for x, n in zip(_matrix(batch.column("v"), dim).astype(np.float64), batch.column("own").to_pylist(), strict=True)]
                 take = pa.array(np.repeat(np.arange(len(seen)), [len(s) for s in seen]))
                 place = np.concatenate([np.arange(len(s)) for s in seen]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seen).astype(np.int64)), batch.column("q").take(take), batch.column("v").take(take), pa.array(place)], ["leaf", "q", "v", "place"])
 
         return rows.mapInArrow(run, f"leaf long, q long, v {held}, place int")
 
-    probe = good.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(CALIBRATE).groupBy(F.col("id").alias("q")).agg(F.max("v").alias("v"))
+    probe = good.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(CALIBRATE).groupBy(F.col("id").alias("q")).agg(F.max("v").alias("v"), F.lit(0).cast("long").alias("own"))
     walks = scratch(spark, visits(probe, tree.leaves), "walks")
     truth = _top(_search(walks.drop("place"), blocks, dim, k, kind), k).select("q", "id")
     # at most CALIBRATE * k rows, each with one leaf
@@ -240,6 +245,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     wanted, leaves = sum(r["count"] for r in places), 1
     while leaves < tree.leaves and sum(r["count"] for r in places if r["place"] < leaves) < target * wanted:
         leaves *= 2
-    asked = good.where("query").groupBy(F.col("id").alias("q")).agg(F.max("v").alias("v"))
+    asked = good.groupBy(F.col("id").alias("q")).agg(F.max(F.when(F.col("query"), F.col("v"))).alias("v"), F.count("*").alias("own")).where("v is not null")
     found = _search(visits(asked, min(leaves, tree.leaves)).drop("place"), blocks, dim, k, kind)
     return _top(found, k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")

@@ -49,3 +49,15 @@ def test_ties_bad_vectors_and_few_candidates(spark):
     assert got == [(0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 10, 2.0), (0, 4, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0), (20, 4, 10, 0.0)]
     assert vt.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert vt.nearest(df.where("vec_id = 3"), F.lit(True)).count() == 0
+
+
+def test_small_leaves_are_topped_up(spark, monkeypatch):
+    """One leaf a query by the target, of fewer rows than asked for, some of them with the query's own id."""
+    monkeypatch.setattr(vt, "LEAF_FIT", 4)
+    x = np.random.default_rng(5).normal(size=(400, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, x[i].tolist()) for i in range(0, 400, 20) for _ in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in vt.nearest(df, F.col("vec_id") % 20 == 0, 10, target=0.0).collect():
+        got.setdefault(r["query_id"], []).append(r["rank"])
+    assert set(got) == set(range(0, 400, 20)) and all(sorted(g) == list(range(1, 11)) for g in got.values())
