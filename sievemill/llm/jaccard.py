@@ -220,7 +220,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
             was_large = large and before
             held = [x[last] for x in c]
             old, large = len(held[0]), 0
-            if old >= 4:
+            if old >= 4 or was_large:  # of a large key so few rows may be held that one more does not make four
                 fresh = slice(before if was_large else 0, None)
                 yield table(1, held[0][fresh], held[1][fresh], None, held[2][fresh], held[3][fresh])
                 large = 1

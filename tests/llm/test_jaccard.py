@@ -101,3 +101,15 @@ def test_batches_do_not_matter(spark, docs, prose):
         check(j.classes(docs(rows)), rows)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_large_groups_are_given_out_whole(spark):
+    """Arrow batches of one row, and keys of any size."""
+    rows = [(key, 100 * key + i, 50, 0) for key in range(1, 12) for i in range(key)]
+    df = spark.createDataFrame(rows, "key long, id long, n long, place int").coalesce(1).sortWithinPartitions("key", "place", "n", "id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = {(r["key"], r["a"]) for r in j._candidates(df).where("kind = 1").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(k, i) for k, i, _, _ in rows if k >= 4}
