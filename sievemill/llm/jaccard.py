@@ -12,10 +12,15 @@
    one side has alone bound the overlap from above, and only pairs within the bound get the exact intersection of sorted
    arrays.
    First each text's most frequent candidate is checked, then the others that the links found leave in different classes.
-4. Where four or more rows share a shingle, all its pairs that are still in different classes are checked, so no link
-   that would join two classes is lost. Pairs within a class need no check, as the result is the classes.
+4. Where four or more rows share a shingle and are still in different classes, the rows are dealt into tiles of one
+   size band and at most about TILE rows, and every two tiles of near bands that may hold a link meet in a cell, where
+   counts of bits bound the overlap of all pairs of different classes; only pairs within the bound leave the cell, for
+   the exact intersection. So no link that would join two classes is lost. Pairs within a class need no check, as the
+   result is the classes: rows of the class that most rows of a shingle have are in tiles of their own, and two such
+   tiles do not meet. A shingle whose texts all share another shingle that is compared needs no comparison of its own.
 
-No key is gathered: groups are streamed, minima are taken map-side and joins can be split by Spark at hot keys.
+No key is gathered: groups are streamed, minima are taken map-side and joins can be split by Spark at hot keys. A task
+holds one cell at a time, and a cell is dealt anywhere.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text of one to four words is one
 shingle; equal texts (and texts of equal sets) are one class; rows of equal ids are one document; a null id is a class
@@ -24,6 +29,7 @@ of its own id, null; empty tables give no rows. Only id and text are read, so ot
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +49,14 @@ COMMON = 100_000
 SHARED = 4
 #: Sets that a task remembers to carry on only one text of each.
 SEEN = 500_000
-WIDEST = 1 << 15
+#: Rows of a tile, about: tiles are dealt by hash.
+TILE = 256
+#: Pairs of a cell that are looked at together.
+LOOK = 1 << 19
+LOOK_BYTES = 1 << 23
+#: Bits of a bitmap for each shingle, at least, up to WIDEST in all: the more, the fewer differences fall on the same bit.
+SPARSE = 4
+WIDEST = 1 << 17
 
 
 def prefix_size(n: int) -> int:
@@ -56,8 +69,8 @@ def least_common(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def bitmap(x: np.ndarray) -> bytes:
-    """Bits of the set's hashes, as many as the power of two that its size reaches, 64 at least."""
-    width = min(WIDEST, max(64, 1 << int(len(x) - 1).bit_length()))
+    """Bits of the set's hashes, as many as the power of two that SPARSE times its size reaches, 64 at least."""
+    width = min(WIDEST, max(64, 1 << int(SPARSE * len(x) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(x & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -71,20 +84,29 @@ def _folded(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
-def overlap_bounds(n: np.ndarray, xs: list[bytes], m: np.ndarray, ys: list[bytes]) -> np.ndarray:
-    """For each pair of sets (sizes and bitmaps) a number that their intersection does not exceed.
+def overlap_bounds(n: np.ndarray, bits: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each pair (set i, set j) of sets with these sizes and bitmaps a number that their intersection does not exceed.
 
     Pairs are taken in tiles of one size band each side, whose bitmaps are matrices of one width. A bit set on one side
     alone stands for at least one element that the other lacks.
     """
-    out = np.zeros(len(xs), np.int64)
-    wide, narrow = np.fromiter(map(len, xs), np.int64, len(xs)), np.fromiter(map(len, ys), np.int64, len(ys))
-    for p, q in {*zip(wide.tolist(), narrow.tolist(), strict=True)}:
-        tile = np.flatnonzero((wide == p) & (narrow == q))
-        a, b = (np.frombuffer(b"".join(v[i] for i in tile), np.uint8).reshape(len(tile), -1) for v in (xs, ys))
-        a, b = _folded(a, min(p, q)), _folded(b, min(p, q))
-        lost, lacking = (np.bitwise_count(v).sum(1, dtype=np.int64) for v in (a & ~b, b & ~a))
-        out[tile] = np.minimum(n[tile] - lost, m[tile] - lacking)
+    out = np.zeros(len(i), np.int64)
+    wide = np.fromiter(map(len, bits), np.int64, len(bits))
+    row = np.zeros(len(bits), np.int64)  # of a bitmap in the matrix of its width
+    matrix = {}
+    for w in np.unique(wide).tolist():
+        rows = np.flatnonzero(wide == w)
+        row[rows] = np.arange(len(rows))
+        matrix[w] = np.frombuffer(b"".join([bits[r] for r in rows]), np.uint8).reshape(len(rows), w)
+    for p, q in {*zip(wide[i].tolist(), wide[j].tolist(), strict=True)}:
+        tile = np.flatnonzero((wide[i] == p) & (wide[j] == q))
+        a, b = (np.ascontiguousarray(_folded(matrix[w], min(p, q))).view(np.uint64) for w in (p, q))
+        step = max(1, LOOK_BYTES // min(p, q))
+        for part in (tile[k : k + step] for k in range(0, len(tile), step)):
+            x, y = a[row[i[part]]], b[row[j[part]]]
+            both = x & y
+            lost, lacking = (np.bitwise_count(v ^ both).sum(1, dtype=np.int64) for v in (x, y))
+            out[part] = np.minimum(n[i[part]] - lost, n[j[part]] - lacking)
     return out
 
 
@@ -240,7 +262,8 @@ def _bound_filter(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("an", "bn"))
-            most = overlap_bounds(n, batch.column("ab").to_pylist(), m, batch.column("bb").to_pylist())
+            at = np.arange(len(n))
+            most = overlap_bounds(np.concatenate((n, m)), batch.column("ab").to_pylist() + batch.column("bb").to_pylist(), at, at + len(n))
             keep = (100 * np.minimum(n, m) >= NEED * np.maximum(n, m)) & (100 * most >= NEED * (n + m - most))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -264,6 +287,92 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _undecided(rows: DataFrame) -> DataFrame:
+    """Of rows (key, id, n, c: class) those of keys with several classes, with k (rows of the key) and main (the class that most of them have), without keys whose rows another of them has, all."""
+    spark = rows.sparkSession
+    # keys with the same texts propose the same pairs
+    mark = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in range(2)]
+    by_class = rows.groupBy("key", "c").agg(F.count("*").alias("k"), *mark)
+    by_key = by_class.groupBy("key").agg(F.count("*").alias("classes"), F.sum("k").alias("k"), F.max(F.struct("k", "c"))["c"].alias("main"), *(F.bit_xor(f"m{k}").alias(f"m{k}") for k in range(2)))
+    by_key = by_key.where("classes > 1").groupBy("k", "main", "m0", "m1").agg(F.min("key").alias("key")).select("key", "k", "main")
+    rows = scratch(spark, rows.join(by_key, "key"), "split")
+    # a key with all texts of this one has the text whose largest key is the smallest
+    large = rows.groupBy("id").agg(F.max(F.struct("k", "key")).alias("large"))
+    other = rows.join(large, "id").groupBy("key").agg(F.min("large")["key"].alias("other")).where("other != key")
+    held = rows.select("id", F.col("key").alias("other"))
+    idle = rows.join(other, "key").join(held, ["id", "other"]).groupBy("key", "k").count().where("count = k").select("key")
+    return scratch(spark, rows.join(idle, "key", "left_anti"), "undecided")
+
+
+def _cells(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """From rows (key, id, n, c, k, main): a row for each cell that it takes part in: (key, t1, t2: the cell's tiles, side: whether it is of t2, id, n, c, bits)."""
+    large = F.col("k") > TILE
+    band = F.when(large, F.floor(F.log("n") / math.log(100 / NEED))).otherwise(0).cast("long")
+    rows = rows.withColumn("band", band).withColumn("own", F.when(large & (F.col("c") == F.col("main")), 1).otherwise(0))
+    parts = rows.groupBy("key", "own", "band").agg(F.ceil(F.count("*") / TILE).cast("long").alias("parts"))
+    tiles = parts.select("key", "own", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    tile = F.struct("own", "band", "part").alias("t")
+    one, two = tiles.select("key", F.col("own").alias("o1"), F.col("band").alias("b1"), tile.alias("t1")), tiles.select("key", F.col("own").alias("o2"), F.col("band").alias("b2"), tile.alias("t2"))
+    met = one.join(two, "key").where("t1 <= t2 and o1 + o2 < 2 and abs(b1 - b2) <= 1").select("key", "t1", "t2")
+    sides = met.select("key", "t1", "t2", F.col("t1").alias("t"), F.lit(0).alias("side")).unionByName(met.where("t1 != t2").select("key", "t1", "t2", F.col("t2").alias("t"), F.lit(1).alias("side")))
+    dealt = rows.join(parts, ["key", "own", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).select("key", "id", "n", "c", tile)
+    return dealt.join(marks.select("id", "bits"), "id").join(sides, ["key", "t"]).select("key", "t1", "t2", "side", "id", "n", "c", "bits")
+
+
+def _in_cells(cells: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes of a cell that sizes and bitmaps allow to link."""
+
+    def pairs(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        """Of rows of whole cells, sorted by cell and side."""
+        cell, side, ids, n, c = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("cell", "side", "id", "n", "c"))
+        bits = batch.column("bits").to_pylist()
+        head = np.concatenate(([True], cell[1:] != cell[:-1]))
+        start = np.flatnonzero(head)[np.cumsum(head) - 1]
+        end = np.append(np.flatnonzero(head)[1:], len(cell))[np.cumsum(head) - 1]
+        sides = np.bincount(start, side, len(cell))[start].astype(np.int64)  # rows of side 1 in the cell
+        first = np.where(sides > 0, np.where(side > 0, end, end - sides), np.arange(len(cell)) + 1)
+        many = end - first
+        at = 0
+        while at < len(cell):
+            to = at + max(1, int(np.searchsorted(np.cumsum(many[at:]), LOOK, side="right")))
+            i = np.repeat(np.arange(at, min(to, len(cell))), many[at:to])
+            j = np.arange(len(i)) - np.repeat(np.cumsum(many[at:to]) - many[at:to], many[at:to]) + first[i]
+            ok = (c[i] != c[j]) & (100 * np.minimum(n[i], n[j]) >= NEED * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            most = overlap_bounds(n, bits, i, j)
+            ok = 100 * most >= NEED * (n[i] + n[j] - most)
+            i, j = ids[i[ok]], ids[j[ok]]
+            yield np.unique(np.stack((np.minimum(i, j), np.maximum(i, j)), 1), axis=0)
+            at = to
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Holds the rows of the last cell until the next begins."""
+        held: pa.Table | None = None
+
+        def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            for found in pairs(rows.combine_chunks().to_batches()[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            cell = batch.column("cell").to_numpy(zero_copy_only=False)
+            same = int(np.argmax(cell[::-1] != cell[-1])) if (cell != cell[-1]).any() else len(cell)
+            whole = held.num_rows - same
+            if same < len(cell) and whole:
+                yield from out(held.slice(0, whole))
+                held = held.slice(whole)
+            elif held.column("cell")[0].as_py() != cell[-1]:  # the batch is of one cell, and those before it are whole
+                yield from out(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None:
+            yield from out(held)
+
+    dealt = cells.withColumn("cell", F.xxhash64("key", "t1", "t2")).repartition("cell").sortWithinPartitions("cell", "side", "id")
+    return dealt.select("cell", "side", "id", "n", "c", "bits").mapInArrow(run, "a long, b long").distinct()
+
+
 def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose ends are in different classes."""
     one = classes.select(F.col("x").alias("a"), F.col("y").alias("ac"))
@@ -298,15 +407,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     edges = stars.toDF("a", "b").unionByName(more)
     stars = components(edges)
 
-    named = large.join(stars.select(F.col("x").alias("id"), F.col("y")), "id", "left").withColumn("c", F.coalesce("y", "id")).drop("y")
-    # keys with the same texts propose the same pairs; the earliest in the common order has the smallest places for all
-    mark = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in range(2)]
-    split = named.dropDuplicates(["key", "id", "n", "place"]).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.sum("place").alias("p"), *mark)
-    split = split.where("lo != hi").groupBy("k", "lo", "hi", "m0", "m1").agg(F.min_by("key", F.struct("p", "key")).alias("key")).select("key")
-    named = scratch(spark, named.join(split, "key"), "split")
-    fits = "l.c < r.c and 100 * least(l.n, r.n) >= {0} * greatest(l.n, r.n) and least(l.n - l.place, r.n - r.place) >= ceil({0} * (l.n + r.n) / {1})".format(NEED, 100 + NEED)
-    across = named.alias("l").join(named.alias("r"), F.expr(f"l.key = r.key and {fits}")).selectExpr("l.id a", "r.id b").distinct()
-    last = scratch(spark, _links(_bound_filter(across, marks), texts), "links")
+    named = large.drop("place").join(stars.select(F.col("x").alias("id"), F.col("y")), "id", "left").withColumn("c", F.coalesce("y", "id")).drop("y")
+    across = _in_cells(_cells(_undecided(named.dropDuplicates(["key", "id"])), marks))
+    last = scratch(spark, _links(across, texts), "links")
     if not last.isEmpty():
         stars = components(stars.toDF("a", "b").unionByName(last))
 

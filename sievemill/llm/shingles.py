@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sievemill.llm.common import ws_words
 
 WORDS = 5
-MOST_WORDS = 1 << 22
+MOST_WORDS = 1 << 20
 _rng = np.random.default_rng(20240607)
 #: Odd multipliers, one for each place in a shingle.
 PLACE = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from sievemill.llm import jaccard as j
 from sievemill.llm import queries, shingles
@@ -65,6 +66,25 @@ def test_families_equal_brute_force(docs, prose):
     check(j.classes(docs(rows, "n_shingles")), rows)
 
 
+@pytest.mark.parametrize(("tile", "look"), [(256, 1 << 19), (4, 50)])
+def test_families_around_the_threshold(docs, prose, monkeypatch, tile, look):
+    """Altered copies of a text that is not there, many of them a little under the threshold to each other, of several sizes, in one tile and in many."""
+    monkeypatch.setattr(j, "TILE", tile)
+    monkeypatch.setattr(j, "LOOK", look)
+    rng = random.Random(9)
+    rows = []
+    for family in range(4):
+        base = prose(120, 70 + family).split()
+        for _ in range(45):
+            text = list(base)
+            for _ in range(rng.choice((1, 2, 3, 3))):
+                text[rng.randrange(120)] = f"z{rng.randrange(6)}"
+            rows.append(" ".join(text[rng.randrange(3) : 120 - rng.choice((0, 0, 9, 14))]))
+    rows = list(enumerate(rows, 10))
+    assert len({v for _, v in brute(rows).values()}) > 20
+    check(j.classes(docs(rows)), rows)
+
+
 def test_many_rows_in_one_group(docs, prose):
     base = prose(40, 1).split()
     rows = [(i, " ".join(base[:20] + [f"x{i % 7}"] + base[20:] + [f"y{i // 7}"])) for i in range(120)] + [(500 + i, " ".join(base[:12]) + " " + prose(40, 60 + i)) for i in range(40)]
@@ -85,10 +105,12 @@ def test_bitmaps_bound_the_overlap():
     pool = rng.integers(0, 2**63, 600, dtype=np.uint64)
     some = [[shingles.distinct(rng.choice(pool, rng.integers(1, 500))) for _ in range(400)] for _ in range(2)]
     n, m = (np.array([len(x) for x in v]) for v in some)
-    most = j.overlap_bounds(n, [j.bitmap(x) for x in some[0]], m, [j.bitmap(x) for x in some[1]])
+    at, both = np.arange(400), np.concatenate((n, m))
+    bits = [j.bitmap(x) for x in some[0] + some[1]]
+    most = j.overlap_bounds(both, bits, at, at + 400)
     exact = np.array([len(np.intersect1d(x, y)) for x, y in zip(*some, strict=True)])
     assert (most >= exact).all() and exact.tolist() == [shingles.common(x, y) for x, y in zip(*some, strict=True)]
-    same = j.overlap_bounds(n, [j.bitmap(x) for x in some[0]], n, [j.bitmap(x) for x in some[0]])
+    same = j.overlap_bounds(both, bits, at, at)
     assert same.tolist() == n.tolist()
 
 
