@@ -12,12 +12,13 @@
    one side has alone bound the overlap from above, and only pairs within the bound get the exact intersection of sorted
    arrays.
    First each text's most frequent candidate is checked, then the others that the links found leave in different classes.
-4. Where four or more rows share a shingle and are still in different classes, the rows are dealt into tiles of one
+4. Where four or more rows share a shingle and are still in different classes, all pairs of different classes are
+   compared: of up to FEW rows by a join with the filters of size and place; more rows are dealt into tiles of one
    size band and at most about TILE rows, and every two tiles of near bands that may hold a link meet in a cell, where
    counts of bits bound the overlap of all pairs of different classes; only pairs within the bound leave the cell, for
    the exact intersection. So no link that would join two classes is lost. Pairs within a class need no check, as the
    result is the classes: rows of the class that most rows of a shingle have are in tiles of their own, and two such
-   tiles do not meet. A shingle whose texts all share another shingle that is compared needs no comparison of its own.
+   tiles do not meet. Shingles of the same family of copies are compared as one, where that is less work.
 
 No key is gathered: groups are streamed, minima are taken map-side and joins can be split by Spark at hot keys. A task
 holds one cell at a time, and a cell is dealt anywhere.
@@ -49,13 +50,15 @@ COMMON = 100_000
 SHARED = 4
 #: Sets that a task remembers to carry on only one text of each.
 SEEN = 500_000
+#: Rows of a key up to which its pairs are made by a join.
+FEW = 8
 #: Rows of a tile, about: tiles are dealt by hash.
 TILE = 256
 #: Pairs of a cell that are looked at together.
 LOOK = 1 << 19
 LOOK_BYTES = 1 << 23
 #: Bits of a bitmap for each shingle, at least, up to WIDEST in all: the more, the fewer differences fall on the same bit.
-SPARSE = 4
+SPARSE = 2
 WIDEST = 1 << 17
 
 
@@ -287,21 +290,37 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+FITS = "100 * least(l.n, r.n) >= {0} * greatest(l.n, r.n) and least(l.n - l.place, r.n - r.place) >= ceil({0} * (l.n + r.n) / {1})".format(NEED, 100 + NEED)
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """Of rows (key, id, n, place, c: class) those of keys with several classes, with k: the rows of the key."""
+    # keys with the same texts propose the same pairs; the earliest in the common order has the smallest places for all
+    mark = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in range(2)]
+    by_class = rows.groupBy("key", "c").agg(F.count("*").alias("k"), F.sum("place").alias("p"), *mark)
+    by_key = by_class.groupBy("key").agg(F.count("*").alias("classes"), F.sum("k").alias("k"), F.sum("p").alias("p"), *(F.bit_xor(f"m{k}").alias(f"m{k}") for k in range(2)))
+    by_key = by_key.where("classes > 1").groupBy("k", "m0", "m1").agg(F.min_by("key", F.struct("p", "key")).alias("key")).select("key", "k")
+    return scratch(rows.sparkSession, rows.join(by_key, "key"), "split")
+
+
 def _undecided(rows: DataFrame) -> DataFrame:
-    """Of rows (key, id, n, c: class) those of keys with several classes, with k (rows of the key) and main (the class that most of them have), without keys whose rows another of them has, all."""
+    """(key, id, n, c, k, main): from rows (key, id, n, c: class, k) groups of k texts, mostly of class main, so that any two texts of different classes that a key has are in a group together.
+
+    A group is one key, or all keys of which the largest key that any of their texts has is the same, if to compare all
+    texts of these keys once is not more than to compare those of each key: altered copies of one text share many keys.
+    """
     spark = rows.sparkSession
-    # keys with the same texts propose the same pairs
-    mark = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in range(2)]
-    by_class = rows.groupBy("key", "c").agg(F.count("*").alias("k"), *mark)
-    by_key = by_class.groupBy("key").agg(F.count("*").alias("classes"), F.sum("k").alias("k"), F.max(F.struct("k", "c"))["c"].alias("main"), *(F.bit_xor(f"m{k}").alias(f"m{k}") for k in range(2)))
-    by_key = by_key.where("classes > 1").groupBy("k", "main", "m0", "m1").agg(F.min("key").alias("key")).select("key", "k", "main")
-    rows = scratch(spark, rows.join(by_key, "key"), "split")
-    # a key with all texts of this one has the text whose largest key is the smallest
     large = rows.groupBy("id").agg(F.max(F.struct("k", "key")).alias("large"))
-    other = rows.join(large, "id").groupBy("key").agg(F.min("large")["key"].alias("other")).where("other != key")
-    held = rows.select("id", F.col("key").alias("other"))
-    idle = rows.join(other, "key").join(held, ["id", "other"]).groupBy("key", "k").count().where("count = k").select("key")
-    return scratch(spark, rows.join(idle, "key", "left_anti"), "undecided")
+    owner = scratch(spark, rows.join(large, "id").groupBy("key", "k").agg(F.max("large")["key"].alias("owner")), "owners")
+    owned = rows.select("key", "id", "n", "c").join(owner.select("key", "owner"), "key")
+    together = owned.select("owner", "id", "n", "c").distinct()
+    apart = owner.groupBy("owner").agg(F.sum(F.col("k") * F.col("k")).alias("apart"))
+    one = together.groupBy("owner").count().join(apart, "owner").select("owner", (F.col("count") * F.col("count") <= F.col("apart")).alias("one"))
+    name = lambda c, k: F.xxhash64(c, F.lit(k)).alias("key")
+    groups = together.join(one.where("one"), "owner").select(name("owner", 1), "id", "n", "c").unionByName(owned.join(one.where("not one"), "owner").select(name("key", 2), "id", "n", "c"))
+    groups = scratch(spark, groups, "undecided")
+    sizes = groups.groupBy("key", "c").count().groupBy("key").agg(F.sum("count").alias("k"), F.max(F.struct("count", "c"))["c"].alias("main"))
+    return groups.join(sizes, "key")
 
 
 def _cells(rows: DataFrame, marks: DataFrame) -> DataFrame:
@@ -407,8 +426,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     edges = stars.toDF("a", "b").unionByName(more)
     stars = components(edges)
 
-    named = large.drop("place").join(stars.select(F.col("x").alias("id"), F.col("y")), "id", "left").withColumn("c", F.coalesce("y", "id")).drop("y")
-    across = _in_cells(_cells(_undecided(named.dropDuplicates(["key", "id"])), marks))
+    named = large.join(stars.select(F.col("x").alias("id"), F.col("y")), "id", "left").withColumn("c", F.coalesce("y", "id")).drop("y")
+    split = _split(named.dropDuplicates(["key", "id"]))
+    few = split.where(F.col("k") <= FEW)
+    few = few.alias("l").join(few.alias("r"), F.expr(f"l.key = r.key and l.c < r.c and {FITS}")).selectExpr("l.id a", "r.id b").distinct()
+    across = _bound_filter(few, marks).unionByName(_in_cells(_cells(_undecided(split.where(F.col("k") > FEW)), marks))).distinct()
     last = scratch(spark, _links(across, texts), "links")
     if not last.isEmpty():
         stars = components(stars.toDF("a", "b").unionByName(last))
