@@ -318,9 +318,9 @@ def _undecided(rows: DataFrame) -> DataFrame:
     one = together.groupBy("owner").count().join(apart, "owner").select("owner", (F.col("count") * F.col("count") <= F.col("apart")).alias("one"))
     name = lambda c, k: F.xxhash64(c, F.lit(k)).alias("key")
     groups = together.join(one.where("one"), "owner").select(name("owner", 1), "id", "n", "c").unionByName(owned.join(one.where("not one"), "owner").select(name("key", 2), "id", "n", "c"))
-    groups = scratch(spark, groups, "undecided")
+    groups = scratch(spark, groups, "groups")
     sizes = groups.groupBy("key", "c").count().groupBy("key").agg(F.sum("count").alias("k"), F.max(F.struct("count", "c"))["c"].alias("main"))
-    return groups.join(sizes, "key")
+    return scratch(spark, groups.join(sizes, "key"), "undecided")
 
 
 def _cells(rows: DataFrame, marks: DataFrame) -> DataFrame:
