@@ -31,9 +31,10 @@ def mixed(x: np.ndarray, by: int = 0xBF58476D1CE4E5B9) -> np.ndarray:
 
 
 def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(all values, offsets) of a list column without nulls."""
+    """(all values, offsets) of a list column without nulls; values of 32 bits are widened."""
     offsets = column.offsets.to_numpy()
-    return column.values.to_numpy(zero_copy_only=False).view(np.uint64)[offsets[0] : offsets[-1]], offsets - offsets[0]
+    values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    return values.view(np.uint64) if values.dtype.itemsize == 8 else values.view(np.uint32).astype(np.uint64), offsets - offsets[0]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
