@@ -14,8 +14,12 @@ SHARDS = 16
 
 #: (verdict, host and path); fixed values of the query's contract.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Sites of which every page seen is put on the query's list of URLs.
-LISTED_SITES = ("spam-farm", "cheap-pills")
+#: The query's list of URLs, kept apart from the pages that it judges: on each site, in each section, every other page up to
+#: LISTED_PAGES, in forms that are not canonical.
+LISTED_SITES = ("spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org", "cheap-pills.example.com", "cheap-pills.example.net", "cheap-pills.example.org", "tionsh.example.net", "thther.example.org", "ththed.example.org")
+LISTED_SECTIONS = ("en", "fr", "de", "es")
+LISTED_PAGES = 1_000
+LISTED_FORMS = ("/#top", ".html?utm_source=list", "?page=2&ref=x")
 
 
 def model_path() -> str:
@@ -68,8 +72,9 @@ def op9_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    sites = F.regexp_extract(url_filter.host_of(F.col("url")), r"(?:^|\.)(" + "|".join(LISTED_SITES) + r")\.", 1)
-    return url_filter.filter_urls(pages, pages.where(sites != ""), URL_RULES)
+    every = lambda values: F.explode(F.array(*map(F.lit, values)))
+    listed = spark.range(0, LISTED_PAGES, 2).select("id", every(LISTED_SITES).alias("site")).select("id", "site", every(LISTED_SECTIONS).alias("section")).select("id", "site", "section", every(LISTED_FORMS).alias("form"))
+    return url_filter.filter_urls(pages, listed.select(F.format_string("https://www.%s/%s/%d%s", "site", "section", "id", "form").alias("url")), URL_RULES)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -113,12 +118,12 @@ SELECT l.doc_id, CAST(len(ls) AS INTEGER) AS n_lines, CAST(c AS INTEGER) AS n_re
 FROM l JOIN k USING (doc_id)
 """
 
-OP10_SQL = r"""
+OP10_SQL = rf"""
 WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END x FROM pages),
 p AS (SELECT page_id, x, coalesce(translate(regexp_extract(x, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host, coalesce(regexp_extract(x, '^[^/?#]*([^?#]*)', 1), '') path FROM r),
 c AS (SELECT *, array_to_string(list_filter(string_split(regexp_extract(x, '^[^?#]*\?([^#]*)', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$')), '&') q FROM p),
 n AS (SELECT *, CASE WHEN x IS NOT NULL THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/$', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END END canon FROM c),
-listed AS (SELECT DISTINCT canon FROM n WHERE regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.') AND canon IS NOT NULL),
+listed AS (SELECT unnest([{", ".join(f"'{x}'" for x in LISTED_SITES)}]) || '/' || section || '/' || page || form AS canon FROM (SELECT unnest([{", ".join(f"'{x}'" for x in LISTED_SECTIONS)}]) AS section), (SELECT unnest(range(0, {LISTED_PAGES}, 2)) AS page), (SELECT unnest(['', '.html', '?page=2']) AS form)),
 j AS (SELECT n.*, listed.canon IS NOT NULL AS listed,
   CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'

@@ -3,6 +3,7 @@
 Only DataFrame expressions are used. The filter is a table of 256-bit blocks, four 64-bit words each; a URL sets one bit
 in every word of one block. Pages whose four bits are set are possible hits; only these go to the exact hash join, which
 removes false positives. The block table is broadcast behind a check of its row count, beyond that it is joined by block.
+The distinct canonical URLs of the list are written once, for the filter and for the join.
 
 Defined cases: a null url, or one without "://", has empty host and path and no canonical form, so no rule fits and it
 is not listed. Null or repeated list entries count once or not at all. Repeated pages are judged each. An empty page
@@ -16,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import ascii_lower, bounded
+from sievemill.llm.common import ascii_lower, bounded, scratch
 
 #: Bits of the filter for each listed URL.
 BITS_PER_URL = 20
@@ -76,7 +77,7 @@ def bloom_table(listed: DataFrame, col: str, blocks: int) -> DataFrame:
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", list_col: str = "url") -> DataFrame:
     """Per page: id, host, path, rule, verdict (the rule's; else block if its canonical URL is listed, allow if not), listed."""
-    names = listed.select(canonical(F.col(list_col)).alias("_canon")).where("_canon is not null").distinct()
+    names = scratch(pages.sparkSession, listed.select(canonical(F.col(list_col)).alias("_canon")).where("_canon is not null").distinct(), "listed")
     blocks = max(1, -(-names.count() * BITS_PER_URL // (64 * WORDS)))
     bloom = bounded(bloom_table(names, "_canon", blocks))
     url = F.col(url_col)
