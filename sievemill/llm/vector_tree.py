@@ -1,14 +1,15 @@
 """Nearest neighbours by inner product: a hierarchical k-means tree, searched best bin first.
 
-Fit: a bounded sample of the vectors (FIT_ROWS, in hash order) is split by k-means into BRANCH parts again and again down
-to leaves, on the driver. The largest inner product is the smallest distance once a coordinate that makes all norms equal
+Fit: a bounded sample of the vectors (FIT_ROWS, in hash order) is split by k-means into BRANCH parts again and again, on
+the driver, down to leaves that stand for about LEAF_ROWS vectors of the table each, so there are more leaves in a larger
+table (until a leaf has LEAF_FIT sampled vectors; from then on, leaves grow). The largest inner product is the smallest distance once a coordinate that makes all norms equal
 is added to the stored vectors (zero for queries), so the tree splits these. Index: every vector goes to the leaf that
 greedy descent finds, in blocks of at most about BLOCK_ROWS vectors, so a leaf that holds a third of all rows is many
 blocks; a block is one row with a packed matrix. Search: a priority queue walks the tree from the nearest bin on, each
 query visits the first leaves so found, and meets their blocks by a join on the leaf. The number of leaves is calibrated:
 a pass of CALIBRATE sampled vectors over all blocks gives their true neighbours, whose leaves' places in each query's
-walk tell the recall of any number of visits; it is doubled until TARGET is reached, in the end to all leaves, which is
-exact. A query whose leaves hold fewer than k vectors of other ids walks on until they do.
+walk tell the recall of any number of visits; it is raised by a quarter until TARGET is reached, in the end to all leaves,
+which is exact. A task carries on only the k best of each query. A query whose leaves hold fewer than k vectors of other ids walks on until they do.
 
 Scores are computed in double precision and in one order of addition for every pair, so equal vectors tie exactly.
 
@@ -30,20 +31,24 @@ from pyspark.sql import functions as F
 
 from sievemill.llm.common import scratch
 
-FIT_ROWS = 20_000
+FIT_ROWS = 50_000
 BRANCH = 8
-#: Sampled vectors of a leaf at most; the index's leaves grow with the table, in blocks.
-LEAF_FIT = 150
+#: Vectors of the table that a leaf stands for, and sampled ones that it has at least.
+LEAF_ROWS = 1_500
+LEAF_FIT = 20
 BLOCK_ROWS = 2_048
 QUERY_ROWS = 512
-CALIBRATE = 200
-TARGET = 0.97
+CALIBRATE = 400
+TARGET = 0.95
+#: Pairs of a block's exact scores that are made together, and found rows that a task gathers before it drops all but the best.
+PAIRS = 1 << 16
+GATHER = 1 << 19
 
 
 class Tree:
     """Centres of all nodes; children of node i are at first[i] .. first[i] + count[i] - 1; a node without any is a leaf."""
 
-    def __init__(self, sample: np.ndarray, seed: int = 7):
+    def __init__(self, sample: np.ndarray, leaf_fit: int = LEAF_FIT, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.dim = sample.shape[1]
         self.norm = float(np.max(np.sum(sample * sample, 1))) if len(sample) else 0.0
@@ -52,7 +57,7 @@ class Tree:
         while at < len(todo):
             node, rows = todo[at]
             at += 1
-            if len(rows) <= LEAF_FIT:
+            if len(rows) <= leaf_fit:
                 continue
             parts = _kmeans(points[rows], BRANCH, rng)
             groups = [rows[parts == p] for p in range(BRANCH) if (parts == p).any()]
@@ -127,16 +132,6 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Rows of the k best, ties to the smaller id."""
-    if len(ids) > 4 * k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        rows = np.flatnonzero(scores >= edge)
-    else:
-        rows = np.arange(len(ids))
-    return rows[np.lexsort((ids[rows], -scores[rows]))[:k]]
-
-
 def _blocks(index: DataFrame, dim: int, kind: str) -> DataFrame:
     """(leaf, ids, vectors): blocks of one leaf, packed as binary."""
     size = index.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
@@ -150,38 +145,52 @@ def _blocks(index: DataFrame, dim: int, kind: str) -> DataFrame:
     return dealt.select("leaf", "part", "id", "v").groupBy("leaf", "part").applyInArrow(pack, "leaf long, ids binary, x binary")
 
 
-def _search(queries: DataFrame, blocks: DataFrame, dim: int, k: int, kind: str) -> DataFrame:
-    """queries (leaf, q, v) against the blocks of their leaf: (q, id, score), up to k for each query."""
+def _best_of_each(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    head = np.concatenate(([True], q[1:] != q[:-1])) if len(q) else np.zeros(0, bool)
+    place = np.arange(len(q)) - np.maximum.accumulate(np.where(head, np.arange(len(q)), 0))
+    return q[place < k], ids[place < k], scores[place < k]
+
+
+def _search(queries: DataFrame, blocks: DataFrame, dim: int, k: int, kind: str, count: int) -> DataFrame:
+    """queries (leaf, q, v), of count different ones, against the blocks of their leaf: (q, id, score), up to k for each query of a task."""
 
     def gather(key: tuple, t: pa.Table) -> pa.Table:
         x = np.ascontiguousarray(_matrix(t.column("v").combine_chunks(), dim).astype(kind))
         return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), "qs": pa.array([t.column("q").to_numpy().astype("<i8").tobytes()], pa.binary()), "y": pa.array([x.tobytes()], pa.binary())})
 
-    share = queries.groupBy("leaf").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("parts"))
-    dealt = queries.join(F.broadcast(share), "leaf").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int"))
+    dealt = queries.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(-(-count // QUERY_ROWS))).cast("int"))
     packed = dealt.select("leaf", "part", "q", "v").groupBy("leaf", "part").applyInArrow(gather, "leaf long, qs binary, y binary")
 
+    def found(ids: np.ndarray, x: np.ndarray, qs: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows that may be among the k best of their query in this block, with exact scores."""
+        about = y @ x.T
+        about[qs[:, None] == ids[None, :]] = -np.inf
+        edge = np.partition(about, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+        far = np.sqrt(np.sum(y * y, 1)) * np.sqrt(np.max(np.sum(x * x, 1)))
+        with np.errstate(invalid="ignore"):
+            least = edge - 1e-9 * (np.where(np.isfinite(edge), np.abs(edge), 0) + far)
+        i, j = np.nonzero((about >= least[:, None]) & (about > -np.inf))
+        for at in range(0, len(i), PAIRS):
+            a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+            yield qs[a], ids[b], exact(y[a], x[b])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(z) for z in rows], ["q", "id", "score"])
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, x, qs, y = (np.frombuffer(batch.column(c)[row].as_py(), t) for c, t in (("ids", "<i8"), ("x", kind), ("qs", "<i8"), ("y", kind)))
-                x, y = x.reshape(-1, dim).astype(np.float64), y.reshape(-1, dim).astype(np.float64)
-                out_q, out_id, out_s = [], [], []
-                about = y @ x.T
-                for i, q in enumerate(qs):
-                    other = np.flatnonzero(ids != q)
-                    if not len(other):
-                        continue
-                    rough = about[i][other]
-                    if len(other) > k:
-                        edge = np.partition(rough, len(rough) - k)[len(rough) - k]
-                        slack = 1e-9 * (abs(edge) + np.sqrt(np.sum(y[i] * y[i])) * np.sqrt(np.max(np.sum(x * x, 1))))
-                        other = other[rough >= edge - slack]
-                    s = exact(y[i], x[other])
-                    top = _best(ids[other], s, k)
-                    out_q.append(np.full(len(top), q)), out_id.append(ids[other][top]), out_s.append(s[top])
-                if out_q:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (out_q, out_id, out_s)], ["q", "id", "score"])
+                for some in found(ids, x.reshape(-1, dim).astype(np.float64), qs, y.reshape(-1, dim).astype(np.float64)):
+                    held.append(some)
+                    if sum(len(h[0]) for h in held) > GATHER:
+                        held = [_best_of_each(*(np.concatenate(z) for z in zip(*held, strict=True)), k)]
+                        if len(held[0][0]) > GATHER // 2:
+                            yield out(held.pop())
+        if held:
+            yield out(_best_of_each(*(np.concatenate(z) for z in zip(*held, strict=True)), k))
 
     return blocks.join(packed, "leaf").select("ids", "x", "qs", "y").mapInArrow(meet, "q long, id long, score double")
 
@@ -209,7 +218,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     sample = good.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toArrow().column("v")
     if not len(sample):
         return none
-    tree = Tree(np.concatenate([_matrix(c, dim) for c in sample.chunks if len(c)]).astype(np.float64))
+    total = good.count()
+    tree = Tree(np.concatenate([_matrix(c, dim) for c in sample.chunks if len(c)]).astype(np.float64), max(LEAF_FIT, -(-len(sample) * LEAF_ROWS // total)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,12 +249,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     probe = good.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(CALIBRATE).groupBy(F.col("id").alias("q")).agg(F.max("v").alias("v"), F.lit(0).cast("long").alias("own"))
     walks = scratch(spark, visits(probe, tree.leaves), "walks")
-    truth = _top(_search(walks.drop("place"), blocks, dim, k, kind), k).select("q", "id")
+    truth = _top(_search(walks.drop("place"), blocks, dim, k, kind, CALIBRATE), k).select("q", "id")
     # at most CALIBRATE * k rows, each with one leaf
     places = index.join(F.broadcast(truth), "id").select("q", "leaf").join(walks.select("q", "leaf", "place"), ["q", "leaf"]).groupBy("place").count().collect()
     wanted, leaves = sum(r["count"] for r in places), 1
     while leaves < tree.leaves and sum(r["count"] for r in places if r["place"] < leaves) < target * wanted:
-        leaves *= 2
+        leaves = min(tree.leaves, max(leaves + 1, leaves * 5 // 4))
     asked = good.groupBy(F.col("id").alias("q")).agg(F.max(F.when(F.col("query"), F.col("v"))).alias("v"), F.count("*").alias("own")).where("v is not null")
-    found = _search(visits(asked, min(leaves, tree.leaves)).drop("place"), blocks, dim, k, kind)
+    asked = scratch(spark, asked, "queries")
+    found = _search(visits(asked, leaves).drop("place"), blocks, dim, k, kind, max(1, asked.count()))
     return _top(found, k).select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")

@@ -29,14 +29,23 @@ def test_recall_of_the_query(spark):
 
 
 def test_recall_of_a_tree_with_many_leaves(spark, monkeypatch):
-    monkeypatch.setattr(vt, "LEAF_FIT", 20)
+    """Clustered vectors: recall holds while a query visits less than half of the leaves."""
+    monkeypatch.setattr(vt, "LEAF_ROWS", 20)
     monkeypatch.setattr(vt, "BLOCK_ROWS", 64)
+    visits, search = [], vt._search
+
+    def spy(rows, *args):
+        visits.append(rows.groupBy("q").count().agg(F.avg("count")).first()[0])
+        return search(rows, *args)
+
+    monkeypatch.setattr(vt, "_search", spy)
     rng = np.random.default_rng(3)
-    x = np.concatenate((rng.normal(size=(30, 1, 8)) * 3 + rng.normal(size=(30, 60, 8)),)).reshape(-1, 8)
+    x = np.concatenate((rng.normal(size=(30, 1, 8)) * 9 + rng.normal(size=(30, 60, 8)),)).reshape(-1, 8)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {}
     for r in vt.nearest(df, F.col("vec_id") % 20 == 0, 10).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(visits) == 2 and visits[0] > 60 and visits[1] < visits[0] / 2
     want = truth(np.arange(len(x)), x, 10)
     assert sum(len({i for i, _ in want[q]} & got[q]) for q in want) / (10 * len(want)) >= 0.9
 
@@ -54,6 +63,7 @@ def test_ties_bad_vectors_and_few_candidates(spark):
 def test_small_leaves_are_topped_up(spark, monkeypatch):
     """One leaf a query by the target, of fewer rows than asked for, some of them with the query's own id."""
     monkeypatch.setattr(vt, "LEAF_FIT", 4)
+    monkeypatch.setattr(vt, "LEAF_ROWS", 4)
     x = np.random.default_rng(5).normal(size=(400, 6))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, x[i].tolist()) for i in range(0, 400, 20) for _ in range(30)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
