@@ -1,11 +1,15 @@
 """Licence scan by a trained paragraph classifier: sparse word n-grams, logistic regression, template comparison.
 
-The model is trained here, on paragraphs made from TEMPLATES: whole, with words dropped, inside other
-text; paragraphs without a licence, some with its vocabulary; and notices of licences that are no template's, for the
-unknown class. Features are hashed words and pairs of neighbours. A first logistic model says whether a paragraph holds a
-licence notice; a softmax over families says which. The least probability to name a family is calibrated on made
-paragraphs that were not trained on, so that at most 1 in 100 named families is wrong; below it the class is "unknown".
-A named family is confirmed if enough of a template's word pairs stand in the paragraph; unconfirmed it is "unknown" too.
+The model is trained here, on paragraphs made from TEMPLATES: whole, with words dropped, inside other text; paragraphs
+without a licence, some with its vocabulary; and notices of other licences, for the class "unknown". Features are hashed
+words and pairs of neighbours. A first logistic model says whether a paragraph holds a licence notice; a softmax over the
+families and the unknown class says which.
+
+A named family must be confirmed: enough of a template's word pairs stand in the paragraph, and so does one of the family's
+KEYS, the words that tell it from its neighbours: names, versions, numbers of clauses. A passage that several licences
+share has no key and names none of them. The least probability to name a family is calibrated on made paragraphs that
+were not trained on, among them notices of whole licences and versions that training has never seen (HELD_NOTICES), so
+that at most 1 in 100 named families is wrong; below it, or unconfirmed, the family is "unknown".
 
 Lines are read, and paragraphs of several lines between blank ones, joined, as notices are often wrapped. What has more
 than WINDOW words is read in windows of WINDOW words that overlap by half, so a notice within a long line is seen as well as
@@ -55,8 +59,33 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain", "Released under the Unlicense"),
 }
 FAMILIES = tuple(TEMPLATES)
-#: Notices of no template's licence, and plain sentences with like words.
-OTHER_NOTICES = ("Licensed under the {} License, version {}", "This work is licensed under the {} Public License", "Released under the terms of the {} licence", "Use of this file is governed by the {} End User License Agreement", "All rights reserved by {}; licensed material, do not redistribute", "Distributed under the {} Community License {}")
+#: For each family phrases of which one must be there, word for word; several of a tuple must all be.
+KEYS: dict[str, tuple[tuple[str, ...], ...]] = {
+    "Apache-2.0": (("apache license version 2 0",), ("apache org licenses license 2 0",), ("apache license 2 0",), ("identifier apache 2 0",)),
+    "MIT": (("mit license",), ("free of charge to any person obtaining a copy of this software",), ("identifier mit",)),
+    "BSD-3-Clause": (("bsd 3 clause",), ("neither the name of", "endorse or promote products")),
+    "GPL-3.0": (("gnu general public license version 3",), ("gnu general public license as published by", "version 3 of the license"), ("identifier gpl 3 0",)),
+    "GPL-2.0": (("gnu general public license version 2",), ("gnu general public license as published by", "version 2 of the license"), ("identifier gpl 2 0",)),
+    "LGPL-3.0": (("gnu lesser general public license version 3",), ("gnu lesser general public license as published by", "version 3 of the license"), ("identifier lgpl 3 0",)),
+    "AGPL-3.0": (("gnu affero general public license",), ("identifier agpl 3 0",)),
+    "MPL-2.0": (("mozilla public license v 2 0",), ("mozilla public license version 2 0",), ("mozilla public license 2 0",), ("identifier mpl 2 0",)),
+    "CC-BY-4.0": (("cc by 4 0",), ("creative commons attribution 4 0",)),
+    "CC-BY-SA-4.0": (("cc by sa 4 0",), ("creative commons attribution sharealike 4 0",)),
+    "CC-BY-NC-4.0": (("cc by nc 4 0",), ("creative commons attribution noncommercial 4 0",)),
+    "CC0-1.0": (("cc0 1 0",), ("waived all copyright and related or neighboring rights",)),
+    "ISC": (("isc license",), ("with or without fee is hereby granted provided that the above copyright notice",), ("identifier isc",)),
+    "Unlicense": (("the unlicense",), ("free and unencumbered software released into the public domain",), ("identifier unlicense",)),
+}
+#: Notices of no template's licence, to train on, and others that only calibration sees; and plain sentences with like words.
+OTHER_NOTICES = (
+    "Licensed under the {} License, version {}", "This work is licensed under the {} Public License", "Released under the terms of the {} licence", "Use of this file is governed by the {} End User License Agreement", "All rights reserved by {}; licensed material, do not redistribute", "Distributed under the {} Community License {}",
+    "Licensed under the GNU Lesser General Public License, version 2.1", "Licensed under the BSD 4-Clause License", "Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "Licensed under the Artistic License 2.0", "Distributed under the Boost Software License, Version 1.0",
+)
+HELD_NOTICES = (
+    "Licensed under the Apache License, Version 1.1", "Apache Software License, version 1.0", "The contents of this file are subject to the Mozilla Public License Version 1.1", "Licensed under the Mozilla Public License 1.1", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Licensed under the BSD 2-Clause License",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under CC BY 3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License", "Licensed under CC BY-SA 3.0", "This work is licensed under the GNU General Public License, version 1",
+    "under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License", "Licensed under the Common Development and Distribution License 1.0", "Licensed under the Academic Free License version 3.0", "Released under the Python Software Foundation License Version 2", "Licensed under the zlib License",
+)
 ORDINARY = (
     "She renewed her driving licence at the public office last week", "The version of the story in the public library differs from this copy", "Free of charge, the museum is open to the public on Sundays", "The work was granted an award in source and form",
     "He had permission to use the general store under the bridge", "No licence is needed to fish from the public pier", "The software was released in April and the third version in May", "Copyright law was the subject of the lecture", "He studied at MIT before he joined the foundation", "The Apache people lived in the southwest",
@@ -97,12 +126,13 @@ def slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Classifier:
     def __init__(self) -> None:
         rng = np.random.default_rng(20240901)
-        train, held = self._made(rng, 5000), self._made(rng, 2500)
+        train, held = self._made(rng, 5000, OTHER_NOTICES), self._made(rng, 2500, HELD_NOTICES)
         self.is_notice = np.zeros((SLOTS + 1, 1), np.float32)
-        self.family = np.zeros((SLOTS + 1, len(FAMILIES)), np.float32)
+        self.family = np.zeros((SLOTS + 1, len(FAMILIES) + 1), np.float32)  # the last is the unknown class
         self._fit(self.is_notice, [t for t, _ in train], np.asarray([[float(y != -1)] for _, y in train]))
-        named = [(t, y) for t, y in train if y >= 0]
-        self._fit(self.family, [t for t, _ in named], np.eye(len(FAMILIES))[[y for _, y in named]])
+        named = [(t, y) for t, y in train if y != -1]
+        self._fit(self.family, [t for t, _ in named], np.eye(len(FAMILIES) + 1)[[y if y >= 0 else len(FAMILIES) for _, y in named]])
+        self.keys = [[[hash_of(_words(phrase)) for phrase in key] for key in KEYS[f]] for f in FAMILIES]
         self.templates = [(i, np.unique(_pairs(hash_of(_words(t))))) for i, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
         self.least = self._calibrate([(t, y) for t, y in held if y != -1])
         none = np.sort([self.probabilities(t)[0] for t, y in held if y == -1])
@@ -110,7 +140,7 @@ class Classifier:
         self.cut = float(np.log(cut / (1 - cut)))
 
     @staticmethod
-    def _made(rng: np.random.Generator, n: int) -> list[tuple[np.ndarray, int]]:
+    def _made(rng: np.random.Generator, n: int, others: tuple[str, ...]) -> list[tuple[np.ndarray, int]]:
         """Paragraphs and classes: a family's number, -2 for another licence, -1 for none."""
         sounds = ("an", "er", "in", "on", "re", "th", "ion", "es", "la", "de", "que", "ung", "sch", "eau", "os", "ado", "ver", "ment")
         made_up = lambda k: ["".join(rng.choice(sounds, rng.integers(1, 4))) for _ in range(k)]
@@ -124,7 +154,7 @@ class Classifier:
                     w = [x for x in w if rng.random() > 0.08] or w
             elif kind < 0.6:
                 y, name = -2, "".join(made_up(2))
-                w = _words(str(rng.choice(OTHER_NOTICES)).format(name, int(rng.integers(1, 9))))
+                w = _words(str(rng.choice(others)).format(name, int(rng.integers(1, 9))))
             else:
                 y = -1
                 w = _words(str(rng.choice(ORDINARY))) if rng.random() < 0.3 else made_up(int(rng.integers(1, WINDOW)))
@@ -164,7 +194,7 @@ class Classifier:
         weights[used], weights[SLOTS] = w, b
 
     def probabilities(self, h: np.ndarray) -> tuple[float, np.ndarray]:
-        """(of a notice, of each family if it is one) for one window of words."""
+        """(of a notice, of each family and of none if it is one) for one window of words."""
         at = np.concatenate(slots(h))
         s = 1 / np.sqrt(max(1, len(at)))
         notice = 1 / (1 + np.exp(-(self.is_notice[at].sum() * s + self.is_notice[SLOTS, 0])))
@@ -173,15 +203,32 @@ class Classifier:
         return float(notice), z / z.sum()
 
     def _calibrate(self, held: list[tuple[np.ndarray, int]]) -> float:
-        """The least probability from which at most one in a hundred named families of held-out notices is wrong."""
-        said = sorted(((float((p := self.probabilities(h)[1]).max()), int(p.argmax()) == y) for h, y in held), reverse=True)
+        """The least probability from which at most one in a hundred confirmed families of held-out notices is wrong."""
+        said = []
+        for h, y in held:
+            p = self.probabilities(h)[1]
+            best = int(p.argmax())
+            if self.confirmed(best, h)[1]:
+                said.append((float(p[best]), best == y))
         wrong, least = 0, 1.0
-        for k, (p, right) in enumerate(said, 1):
+        for k, (p, right) in enumerate(sorted(said, reverse=True), 1):
             wrong += not right
             if wrong * 100 <= k:
                 least = p
         return least
 
+    def confirmed(self, family: int, h: np.ndarray) -> tuple[float, bool]:
+        """(likeness to the family's templates, whether it is enough and a key of the family is there)."""
+        if family == len(FAMILIES):
+            return 0.0, False
+
+        def has(phrase: np.ndarray) -> bool:
+            at = np.flatnonzero(h[: len(h) - len(phrase) + 1] == phrase[0]) if len(h) >= len(phrase) else ()
+            return any(np.array_equal(h[i : i + len(phrase)], phrase) for i in at)
+
+        alike = self.likeness(family, h)
+        return alike, alike >= CONFIRM and any(all(map(has, key)) for key in self.keys[family])
+
     def likeness(self, family: int, h: np.ndarray) -> float:
         """The largest share of a template's word pairs that the window has."""
         own = np.unique(_pairs(h)) if len(h) > 1 else np.zeros(0, np.uint64)
@@ -256,8 +303,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             def judged(window: np.ndarray) -> tuple[int, float, float, bool]:
                 _, p = model.probabilities(window)
                 best = int(p.argmax())
-                alike = model.likeness(best, window)
-                return best, float(p[best]), float(alike), bool(p[best] >= model.least and alike >= CONFIRM)
+                alike, sure = model.confirmed(best, window)
+                return best, float(p[best]), float(alike), bool(sure and p[best] >= model.least)
 
             def put(doc: int, at: int, family: str, p: float, alike: float, sure: bool) -> None:
                 if (doc, at, family) not in rows or rows[doc, at, family][0] < p:
