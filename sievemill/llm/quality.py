@@ -5,8 +5,8 @@ compressed with either dictionary. The size difference over the larger size says
 size over the length says whether it repeats itself, where the difference is small and means little. A logistic curve
 over both, fitted on labelled texts that no dictionary has seen, gives the score.
 
-Learning takes a bounded sample: FIT_ROWS labelled rows of each class, in hash order, half for the dictionaries (one
-block at a hashed place of each text) and half for the curve (texts of at most FIT_BYTES bytes). The curve weighs each
+Learning takes a bounded sample: FIT_ROWS labelled rows of each class, in hash order and with their whole texts, half for
+the dictionaries and half for the curve. The curve weighs each
 class's rows by how many labels one of them stands for, so the share of good texts in it is that of all usable labels at
 every size. Scoring takes all rows and whole texts.
 
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 BLOCK = 4096
 FIT_ROWS = 3_000
-FIT_BYTES = 32_768
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
 FOLDS = 3
@@ -107,12 +106,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     # at most 2 * FIT_ROWS ids: bounded by the parameter
     rows = texts.join(F.broadcast(picked.select("_id", "_y")), "_id")
-    size, place = F.length("t"), F.pmod(F.xxhash64("_id", F.lit(2)), F.greatest(F.lit(1), F.ceil(F.length("t") / BLOCK)))
     for_curve = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(2)) == 1
-    cut = F.when(for_curve, F.col("t")).otherwise(F.substring("t", (place * BLOCK + 1).cast("int"), F.lit(BLOCK)))
-    sample = rows.where(~for_curve | (F.octet_length("t") <= FIT_BYTES)).select("_id", "_y", cut.alias("t"), for_curve.alias("c"), size.alias("n")).collect()
+    sample = rows.select("_id", "_y", "t", for_curve.alias("c")).collect()
     sample = sorted({(r["_id"], int(r["_y"]), r["t"], r["c"]) for r in sample}, key=lambda r: (str(r[0]), r[2]))
-    by = {y: [t.encode("utf-8", "replace") for _, label, t, c in sample if label == y and not c and t] for y in (0, 1)}
+    by = {y: [part for _, label, t, c in sample if label == y and not c and t for part in _blocks(t)] for y in (0, 1)}
     curve = [(t, y) for _, y, t, c in sample if c]
     if min(map(len, by.values())) < 8 or len({y for _, y in curve}) < 2:
         return Scorer()
