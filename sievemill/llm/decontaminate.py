@@ -1,27 +1,32 @@
 """Benchmark decontamination by spaced seeds, in DataFrame expressions alone.
 
 Words are runs of letters and digits, lower-cased. A document overlaps an item if, somewhere on one alignment without
-gaps, at least NEED of SPAN consecutive words are equal (of an item of SHORT to SPAN-1 words: all but one in eight). A
+gaps, at least NEED of SPAN consecutive words are equal (of an item of fewer than SPAN words: all but one in eight). A
 mask hashes the words at its offsets and ignores the rest, so changed words at ignored places do not hide a hit. The
 three masks were searched so that each of the 4,845 ways to change four of twenty words leaves at least one mask intact
-somewhere in the window; the run of four does so for short items. Hits are thus found without loss, and the words around
+somewhere in the window; the run of four does so for shorter items, and items of up to three words are hashed whole. Hits are thus found without loss, and the words around
 each hit are compared on its alignment: the result equals that of comparing all windows.
 
-The items' hashes are broadcast behind a check of their number, else joined by a shuffle that Spark may split.
+The items' hashes are broadcast behind a check of their number, their words behind one of rows and words, else they are
+joined by a shuffle that Spark may split. What is gathered for a document are the places of its hits, not words.
 
-Defined cases: null and empty texts have no words and overlap nothing; items of fewer than SHORT words are never matched;
-equal items are each reported; equal ids with different texts are judged apart and reported by their best; empty tables
+Defined cases: null and empty texts, of documents and items, have no words and overlap nothing; an item of one to seven
+words overlaps where all its words stand together; equal items are each reported; equal ids with different texts are judged apart and reported by their best; empty tables
 give no rows. Only ids and texts are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemill.llm.common import bounded
 
-SPAN, NEED, SHORT = 20, 16, 8
+SPAN, NEED = 20, 16
+#: Rows and words of items up to which they are broadcast.
+ITEM_ROWS, ITEM_WORDS = 20_000, 2_000_000
 #: Offsets that a seed looks at. Lossless for four changes in twenty words.
 MASKS = ((0, 1, 3, 4, 5, 6), (0, 1, 5, 7, 8, 9), (0, 4, 7, 8, 12, 13))
 #: Lossless for one change in eight words and for two in sixteen.
@@ -51,18 +56,28 @@ def _seeds(df: DataFrame, masks: tuple[tuple[int, ...], ...], keep: list[str]) -
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item id, matched: most equal words of a window, start: where in the document the first window with enough begins)."""
     doc = docs.select(F.col(id_col).alias("_d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(3)).alias("_k"), words(F.col(text_col)).alias("_w"))
-    item = items.select(F.col(item_col).alias("_i"), F.xxhash64(F.coalesce(F.col(item_text), F.lit("")), F.lit(3)).alias("_ik"), words(F.col(item_text)).alias("_w")).where(F.size("_w") >= SHORT)
-    short = item.where(F.size("_w") < SPAN)
-    masks = MASKS + (SHORT_MASK,) * (not short.isEmpty())
-    of_long = _seeds(item.where(F.size("_w") >= SPAN), MASKS, ["_i", "_ik"])
-    of_short = _seeds(short, (SHORT_MASK,), ["_i", "_ik"])
-    hashes = bounded(of_long.unionByName(of_short).withColumnRenamed("_p", "_q"))
-    hits = _seeds(doc, masks, ["_d", "_k"]).join(hashes, "_h").select("_d", "_k", "_i", "_ik", (F.col("_p") - F.col("_q")).alias("_o")).distinct()
-    near = hits.join(bounded(item.withColumnRenamed("_w", "_iw"), 20_000), ["_i", "_ik"])
-    pairs = near.groupBy("_d", "_k").agg(F.collect_list(F.struct("_i", "_o", "_iw")).alias("_c"))
+    item = items.select(F.col(item_col).alias("_i"), F.xxhash64(F.coalesce(F.col(item_text), F.lit("")), F.lit(3)).alias("_ik"), words(F.col(item_text)).alias("_w")).where(F.size("_w") > 0)
+    size = F.size("_w")
+    run = len(SHORT_MASK)
+    of_long = _seeds(item.where(size >= SPAN), MASKS, ["_i", "_ik"])
+    tables, masks = [of_long, _seeds(item.where((size < SPAN) & (size >= run)), (SHORT_MASK,), ["_i", "_ik"])], MASKS
+    short = {r["n"] for r in item.where(size < SPAN).select(F.least(size, F.lit(run)).alias("n")).distinct().collect()}  # four at most
+    for n in sorted(short):
+        masks += (tuple(range(n)),)
+        if n < run:
+            tables.append(_seeds(item.where(size == n), (tuple(range(n)),), ["_i", "_ik"]))
+    hashes = reduce(DataFrame.unionByName, tables).withColumnRenamed("_p", "_q")
+    hits = _seeds(doc, masks, ["_d", "_k"]).join(bounded(hashes), "_h").select("_d", "_k", "_i", "_ik", (F.col("_p") - F.col("_q")).alias("_o")).distinct()
+    few = item.limit(ITEM_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    item = F.broadcast(item) if few[0] <= ITEM_ROWS and few[1] <= ITEM_WORDS else item
+    longs = hits.join(item.select("_i", "_ik", size.alias("_n")), ["_i", "_ik"])
+    pairs = longs.groupBy("_d", "_k").agg(F.collect_list(F.struct("_i", "_ik", "_o", "_n")).alias("_c"))
     both = pairs.join(doc, (pairs["_d"].eqNullSafe(doc["_d"])) & (pairs["_k"] == doc["_k"])).select(pairs["_d"], "_w", F.explode_outer("_c").alias("_c"))
-    flags = F.transform(F.col("_c._iw"), lambda x, j: F.when(F.get(F.col("_w"), j + F.col("_c._o")) == x, 1).otherwise(0))
-    both = both.select("_d", F.col("_c._i").alias("_i"), F.col("_c._o").alias("_o"), flags.alias("_e"))
+    from_ = F.greatest(F.lit(0), F.col("_c._o"))
+    both = both.select("_d", "_c._i", "_c._ik", "_c._o", (F.col("_c._o") - from_).alias("_before"), F.slice("_w", from_ + 1, F.col("_c._n")).alias("_dw"))
+    both = both.join(item.withColumnRenamed("_w", "_iw"), ["_i", "_ik"])
+    flags = F.transform(F.col("_iw"), lambda x, j: F.when(F.get(F.col("_dw"), j + F.col("_before")) == x, 1).otherwise(0))
+    both = both.select("_d", "_i", "_o", flags.alias("_e"))
     size = F.least(F.size("_e"), F.lit(SPAN))
     need = F.when(size < SPAN, size - F.floor(size / 8)).otherwise(NEED).cast("int")
     sums = F.transform(F.sequence(F.lit(0), F.size("_e") - size), lambda s: F.aggregate(F.slice(F.col("_e"), s + 1, size), F.lit(0), lambda a, x: a + x))

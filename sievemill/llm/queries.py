@@ -95,11 +95,11 @@ OP1_SQL = r"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') w FROM documents),
 iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') w FROM benchmark),
 d AS (SELECT doc_id, unnest(w) t, generate_subscripts(w, 1) - 1 p FROM dw),
-i AS (SELECT item_id, len(w) n, unnest(w) t, generate_subscripts(w, 1) - 1 q FROM iw WHERE len(w) >= 8),
+i AS (SELECT item_id, len(w) n, unnest(w) t, generate_subscripts(w, 1) - 1 q FROM iw),
 e AS (SELECT doc_id, item_id, n, p - q o, q FROM d JOIN i USING (t)),
 many AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, o) c FROM e),
 -- a window is counted from each place up to four before an equal word, so that one that begins with changed words is seen
-starts AS (SELECT DISTINCT doc_id, item_id, n, o, q - b AS s FROM many, (SELECT unnest(range(0, 5)) b) WHERE c >= 7 AND q - b >= 0 AND q - b <= greatest(n - 20, 0)),
+starts AS (SELECT DISTINCT doc_id, item_id, n, o, q - b AS s FROM many, (SELECT unnest(range(0, 5)) b) WHERE c >= least(n, 7) AND q - b >= 0 AND q - b <= greatest(n - 20, 0)),
 sums AS (SELECT s.doc_id, s.item_id, s.n, s.o, s.s, count(*) m FROM starts s JOIN many e ON s.doc_id = e.doc_id AND s.item_id = e.item_id AND s.o = e.o AND e.q >= s.s AND e.q < s.s + 20 GROUP BY ALL)
 SELECT doc_id, item_id, CAST(max(m) AS INTEGER) AS matched, CAST(min(greatest(s + o, 0)) AS INTEGER) AS start
 FROM sums WHERE m >= CASE WHEN n < 20 THEN n - n // 8 ELSE 16 END GROUP BY doc_id, item_id
