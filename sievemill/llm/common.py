@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset (tests, one machine), a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where unset, a new one on this machine, which only a local master may use."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(spark.sparkContext, "_sievemill_scratch", "")
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="sievemill-")
