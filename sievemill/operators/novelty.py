@@ -61,7 +61,9 @@ def near_pairs(pairs: DataFrame, candidates: DataFrame, index: DataFrame, key: s
     """pairs whose shingles are similar enough to compare: key, other, jaccard, similarity (the larger of Jaccard and ratio)."""
     a = candidates.select(key, F.col("text").alias("_at"), F.col("shingles").alias("_as"))
     b = index.select(F.col(key).alias(other), F.col("text").alias("_bt"), F.col("shingles").alias("_bs"))
-    close = pairs.join(a, key).join(b, other).withColumn("jaccard", T.jaccard(F.col("_as"), F.col("_bs"))).where(F.col("jaccard") >= max(0.0, near - 0.2))
+    # compared over their shingles first, so only what is close carries its texts on
+    close = pairs.join(a.drop("_at"), key).join(b.drop("_bt"), other).withColumn("jaccard", T.jaccard(F.col("_as"), F.col("_bs"))).where(F.col("jaccard") >= max(0.0, near - 0.2))
+    close = close.select(key, other, "jaccard").join(a.drop("_as"), key).join(b.drop("_bs"), other)
     return close.withColumn("_r", sequence_ratio(F.col("_at"), F.col("_bt"))).select(key, other, "jaccard", F.greatest("jaccard", "_r").alias("similarity"))
 
 
@@ -98,19 +100,26 @@ def conflicts(rows: DataFrame, wave: str, rank: str, pair: str, near: float = NE
     return both.select(wave, rank, "better", "maximum", "threshold", F.when(F.col("_ap") == F.col("_bp"), "sibling_near_duplicate").otherwise("wave_near_duplicate").alias("reason"))
 
 
-def greedy_keep(rows: DataFrame, edges: DataFrame, wave: str, rank: str, cut, most_rounds: int = 200) -> DataFrame:
+def greedy_keep(rows: DataFrame, edges: DataFrame, wave: str, rank: str, cut) -> DataFrame:
     """(wave, rank, kept): a row is kept unless a kept better-ranked row conflicts with it.
 
     Fixpoint instead of a loop over rows: rows without an undecided better neighbour are kept, what conflicts with them
-    is dropped, until nothing is undecided. cut(df) writes a table and reads it back, so lineage does not grow.
+    is dropped, until nothing is undecided; each round decides the best undecided row of every wave at least, so it
+    ends. cut(df) writes a table and reads it back, so lineage does not grow.
     """
     state = cut(rows.select(wave, rank, F.lit(None).cast("boolean").alias("kept")))
     edges = cut(edges.select(wave, rank, "better"))
-    for _ in range(most_rounds):
-        if not state.where("kept is null").limit(1).count():
-            break
+    while not state.where("kept is null").isEmpty():
         better = state.toDF(wave, "better", "_kept")
         near = edges.join(better, [wave, "better"]).groupBy(wave, rank).agg(F.bool_or("_kept").alias("_hit"), F.bool_or(F.col("_kept").isNull()).alias("_open"))
         told = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("_hit", F.lit(False)), False).when(~F.coalesce("_open", F.lit(False)), True)
         state = cut(state.join(near, [wave, rank], "left").select(wave, rank, told.alias("kept")))
     return state
+
+
+def wave_evidence(edges: DataFrame, kept: DataFrame, wave: str, rank: str) -> DataFrame:
+    """(wave, rank, wave_reason, wave_nearest: rank, wave_maximum) of rows that a kept one conflicts with: the kept row whose similarity is most over its threshold, the best-ranked of equals."""
+    held = kept.where("kept").select(wave, F.col(rank).alias("better"))
+    over = F.struct((F.col("maximum") / F.col("threshold")).alias("over"), (-F.col("better")).alias("first"), "reason", "better", "maximum")
+    best = edges.join(held, [wave, "better"]).groupBy(wave, rank).agg(F.max(over).alias("m"))
+    return best.select(wave, rank, F.col("m.reason").alias("wave_reason"), F.col("m.better").alias("wave_nearest"), F.col("m.maximum").alias("wave_maximum"))

@@ -38,6 +38,10 @@ def plan_pairs(catalog: list[tuple[str, str, frozenset[str]]], cells: list[str],
     return out
 
 
+#: Rows that a cell offers to sample_pairs: what the sample is drawn from, by choice of the operator.
+CHOICES = 64
+
+
 def sample_pairs(problems: DataFrame, key: str, cell: str, roots: str, count: int, seed: int) -> DataFrame:
     """Pairs (pair_id, index, left_id, right_id) for catalogs of any size, ranked by hashes instead of drawn.
 
@@ -46,9 +50,9 @@ def sample_pairs(problems: DataFrame, key: str, cell: str, roots: str, count: in
     """
     spark = problems.sparkSession
     rank = F.row_number().over(Window.partitionBy(cell).orderBy(F.xxhash64(F.lit(seed), key), key))
-    offered = problems.select(F.col(key).cast("string").alias("id"), F.col(cell).alias("c"), F.col(roots).alias("r"), rank.alias("k")).where(F.col("k") <= 64)
+    offered = problems.select(F.col(key).cast("string").alias("id"), F.col(cell).alias("c"), F.col(roots).alias("r"), rank.alias("k")).where(F.col("k") <= CHOICES)
     index = spark.range(count).select(F.col("id").alias("index"))
-    # at most 64 rows for each cell of a closed vocabulary
+    # at most CHOICES rows for each cell of a closed vocabulary
     draws = index.join(F.broadcast(offered))
     order = F.struct(F.xxhash64(F.lit(seed), "index", "c"), F.xxhash64(F.lit(seed), "index", "id"), F.col("id"))
     left = draws.groupBy("index").agg(F.min_by(F.struct("id", "c", "r"), order).alias("l"))

@@ -272,9 +272,8 @@ def _samples(spark: SparkSession) -> DataFrame:
     return rows_of(spark, "candidate_id string, status string, text string", CANDIDATES).withColumn("reject_reason", F.lit(None).cast("string"))
 
 
-@expects("candidate_id VARCHAR, reason VARCHAR", [("c1", None), ("c2", "wave_near_duplicate"), ("c3", "label_tie"), ("c9", "exact_duplicate"), ("c10", None)])
-def discovery_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates through all gates: the flagship flow."""
+def _flow(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Candidates through all gates: what was read of them, and what became of those that could be read."""
     cut = _cut(spark)
     read = cut(cycle.read_candidates(_samples(spark)).withColumn("wave", F.lit(1)).withColumn("pair_id", F.lit("p")))
     votes = {"c1": ["5"] * 9, "c2": ["9"] * 9, "c3": ["9"] * 4 + ["8"] * 4 + ["7"], "c9": ["1330"] * 9, "c10": ["{7, -7}"] * 5 + ["{-7, 7}"] * 4}
@@ -283,7 +282,57 @@ def discovery_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = labeling.typed_labels(said, "candidate_id", "a", "i", "m", F.lit(True))
     catalog = rows_of(spark, "problem_id string, question string", CATALOG)
     parents = _parents(spark, [("c1", CATALOG[0][1]), ("c2", CATALOG[0][1])], "candidate_id")
-    return cycle.accept(read, labels, catalog, parents, cut, F.col("candidate_id")).select("candidate_id", "reason")
+    return read, cycle.accept(read, labels, catalog, parents, cut, F.col("candidate_id"))
+
+
+#: c1 and c2 are of one pair, so the second is a sibling's near duplicate.
+@expects("candidate_id VARCHAR, phase VARCHAR, reason VARCHAR, wave_nearest VARCHAR", [("c1", None, None, None), ("c2", "wave_novelty", "sibling_near_duplicate", "c1"), ("c3", "pseudo_label", "label_tie", None), ("c9", "preliminary_novelty", "exact_duplicate", None), ("c10", None, None, None)])
+def discovery_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates through all gates: the flagship flow."""
+    return _flow(spark)[1].select("candidate_id", "phase", "reason", "wave_nearest")
+
+
+PASSED = [(1, "parse", "passed"), (5, "preflight", "passed"), (6, "domain", "passed"), (7, "wave_novelty", "passed"), (8, "pseudo_label", "accepted"), (12, "archive", "accepted")]
+
+
+@expects(
+    "candidate_id VARCHAR, step INTEGER, phase VARCHAR, status VARCHAR, reason VARCHAR",
+    [(c, *x, None) for c, n in (("c1", 6), ("c2", 3), ("c3", 4), ("c4", 1), ("c6", 1), ("c8", 1), ("c9", 1), ("c10", 6)) for x in PASSED[:n]]
+    + [
+        ("c2", 7, "wave_novelty", "rejected", "sibling_near_duplicate"), ("c3", 8, "pseudo_label", "rejected", "label_tie"), ("c4", 2, "problem_type", "rejected", "proof_or_justification"), ("c5", 0, "generation", "rejected", "generation_rejected"),
+        ("c6", 3, "answer_contract", "rejected", "compound_scalar_answer"), ("c7", 1, "parse", "rejected", "missing_question_open"), ("c8", 1, "parse", "rejected", "question_length_out_of_bounds"), ("c9", 4, "preliminary_novelty", "rejected", "exact_duplicate"),
+    ],
+)
+def discovery_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cycle.events(*_flow(spark))
+
+
+@expects("request_id VARCHAR, pair_id VARCHAR, reason VARCHAR, received BIGINT", [("r2", "p2", "incomplete_generation_group", 1), ("r3", "p3", "missing_generation_group", 0)])
+def generation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = rows_of(spark, "request_id string, pair_id string", [("r1", "p1"), ("r2", "p2"), ("r3", "p3")])
+    return cycle.group_events(requests, rows_of(spark, "request_id string, text string", [("r1", "a"), ("r1", "b"), ("r2", "a")]), 2)
+
+
+#: Found new against the catalog, and too near each other: b equals a, d is near c, which is archived before it.
+LATE = [("a", "Compute the sum of all odd numbers below one hundred and ten."), ("b", "compute the sum of all  odd numbers below one hundred and ten."), ("c", "How many lattice points lie strictly inside the circle of radius 9?"), ("d", "How many lattice points lie strictly inside the circle of radius 8?"), ("e", "Is the integer 91 a prime number?")]
+
+
+@expects("candidate_id VARCHAR, reason VARCHAR", [("b", "exact_duplicate"), ("d", "near_duplicate")])
+def final_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rows_of(spark, "candidate_id string, question string", LATE)
+    own = novelty.indexed(rows, "candidate_id", "question")
+    return cycle.final_novelty(rows, own, own.limit(0), _cut(spark)).withColumnRenamed("_final", "reason")
+
+
+CUE_CASES = [
+    (1, "Find the sum of 1 and 2. Compute the product, and also find the ratio.", ["Find the sum of 1 and 2", "Compute the product, and also", "find the ratio"]), (2, "Let n be odd. Please determine whether n is prime", ["determine whether n is prime"]),
+    (3, "Is 7 prime? How many divisors has 12?", ["Is 7 prime? How many divisors has 12?"]), (4, "The sum is known", []), (5, None, []), (6, "\U0001d465 = 1; find \U0001d465, and count the \u00e9s", ["find \U0001d465, and", "count the \u00e9s"]),
+]
+
+
+@expects("case_id BIGINT, cues VARCHAR[]", [(i, c) for i, _, c in CUE_CASES])
+def cue_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows_of(spark, "case_id long, t string", [c[:2] for c in CUE_CASES]).select("case_id", R.request_cues(F.col("t")).alias("cues"))
 
 
 @expects("case_id BIGINT, template VARCHAR", [(1, "a # b x2# #"), (2, "#, # and y #"), (3, "")])

@@ -36,19 +36,58 @@ def _bytes(spark: SparkSession, path: str, start: int, length: int) -> bytes:
         handle.close()
 
 
-def _write(spark: SparkSession, path: str, data: bytes) -> None:
-    """Written beside its place, then renamed."""
+def _replace(spark: SparkSession, path: str, fill) -> None:
+    """fill(stream) writes a file beside its place, which then takes the place in one step: readers see the old or the new file."""
+    jvm = spark.sparkContext._jvm
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
     fs, p = _fs(spark, path)
-    aside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
     out = fs.create(aside, True)
     try:
-        out.write(bytearray(data))
+        fill(out)
+        out.hsync()
+    finally:
+        out.close()
+    to = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    to.rename(fs.makeQualified(aside), fs.makeQualified(p), options)
+    if fs.getUri().getScheme() == "file":  # the checksum file of a writer that keeps them would be of the old content
+        fs.delete(jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.crc"), False)
+
+
+def _write(spark: SparkSession, path: str, data: bytes) -> None:
+    _replace(spark, path, lambda out: out.write(bytearray(data)))
+
+
+def _copy(spark: SparkSession, path: str, length: int, more: bytes) -> None:
+    """Replaces a file by its first bytes and more, streamed by the JVM."""
+    fs, p = _fs(spark, path)
+
+    def fill(out) -> None:
+        handle = fs.open(p)
+        try:
+            spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge(handle, out, 0, length)
+        finally:
+            handle.close()
+        if more:
+            out.write(bytearray(more))
+
+    _replace(spark, path, fill)
+
+
+def _extend(spark: SparkSession, path: str, more: bytes) -> None:
+    """Adds bytes at the end, in place where the file system can."""
+    fs, p = _fs(spark, path)
+    try:
+        out = fs.append(p)
+    except Exception:  # noqa: BLE001  file systems without appends raise what they like
+        _copy(spark, path, fs.getFileStatus(p).getLen(), more)
+        return
+    try:
+        out.write(bytearray(more))
     finally:
         out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(aside, p):
-        raise OSError(f"cannot rename to {path}")
 
 
 def _tail(spark: SparkSession, path: str, step: int = 1 << 16) -> bytes:
@@ -71,14 +110,26 @@ def _row(raw: bytes) -> bool:
         return False
 
 
+def _head(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """(value): the lines of a file's first bytes, which end with a line feed. The rest, a broken tail, is dropped by its place: a line begins there."""
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_order"))
+    # the tail is the last line of the last block that has lines; splits are read in order within a block
+    if not length:
+        return lines.select("value").limit(0)
+    last = lines.select(F.max(F.struct("_block", "_order")).alias("m")).first()["m"]
+    return lines.where((F.col("_block") != last["_block"]) | (F.col("_order") != last["_order"])).select("value")
+
+
 def read_log(spark: SparkSession, path: str, schema: types.StructType) -> DataFrame:
     """Rows of a log: none if it is missing; blank lines are skipped, and so is a broken last line without its line feed. Any other line that is no JSON object raises, when the rows are read."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     tail = _tail(spark, path)
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    size = _fs(spark, path)[0].getFileStatus(_fs(spark, path)[1]).getLen()
+    lines = spark.read.text(path, lineSep="\n").where(F.trim("value") != "")
     if tail.strip() and not _row(tail):
-        lines = lines.where(F.col("value") != tail.decode("utf-8", "replace"))
+        # the broken tail is told by where it is: what is read is the part of the file before it, in a view of its own
+        lines = _head(spark, path, size - len(tail)).where(F.trim("value") != "")
     good = F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{")
     checked = F.when(good, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80))))
     return lines.select(F.from_json(checked, schema).alias("r")).select("r.*")
@@ -89,17 +140,30 @@ def repair_log(spark: SparkSession, path: str) -> bool:
     if not exists(spark, path) or not (tail := _tail(spark, path)):
         return False
     fs, p = _fs(spark, path)
-    size = fs.getFileStatus(p).getLen()
-    _write(spark, path, _bytes(spark, path, 0, size) + b"\n" if _row(tail) else _bytes(spark, path, 0, size - len(tail)))
+    if _row(tail):
+        _extend(spark, path, b"\n")
+    else:
+        _copy(spark, path, fs.getFileStatus(p).getLen() - len(tail), b"")
     return True
 
 
+#: The logs of a run that only grow.
+RUN_LOGS = ("accepted_problems", "candidate_events", "label_observations", "score_observations", "training_events")
+
+
+def repair_logs(spark: SparkSession, folder: str, names: tuple[str, ...] = RUN_LOGS) -> list[str]:
+    """Repairs each log of a run before any is read; the names of those that changed."""
+    return [name for name in names if repair_log(spark, f"{folder}/{name}.jsonl")]
+
+
 def append_log(spark: SparkSession, path: str, rows: list[dict]) -> None:
     """Adds rows, in stable JSON, after repair."""
     repair_log(spark, path)
-    fs, p = _fs(spark, path)
-    old = _bytes(spark, path, 0, fs.getFileStatus(p).getLen()) if fs.exists(p) else b""
-    _write(spark, path, old + "".join(stable_json(r) + "\n" for r in rows).encode())
+    more = "".join(stable_json(r) + "\n" for r in rows).encode()
+    if exists(spark, path):
+        _extend(spark, path, more)
+    else:
+        _write(spark, path, more)
 
 
 def stable_json(value: object) -> str:
@@ -126,6 +190,24 @@ def prefix_faults(spark: SparkSession, path: str, offset: int, digest: str) -> D
         return spark.createDataFrame([], "key string, fault string")
     if not exists(spark, path):
         return spark.createDataFrame([(path, "shorter_than_checkpoint")], "key string, fault string")
-    one = spark.read.format("binaryFile").load(path).select("path", "length", F.expr(f"substring(content, 1, {offset})").alias("p"))
-    fault = F.when(F.col("length") < offset, "shorter_than_checkpoint").when(F.sha2("p", 256) != digest, "prefix_changed").when(F.expr(f"substring(p, {offset}, 1) != x'0A'"), "not_at_row_end")
-    return one.select(F.col("path").alias("key"), fault.alias("fault")).where("fault is not null")
+    fs, p = _fs(spark, path)
+    fault = None
+    if fs.getFileStatus(p).getLen() < offset:
+        fault = "shorter_than_checkpoint"
+    elif _digest(spark, path, offset) != digest:
+        fault = "prefix_changed"
+    elif _bytes(spark, path, offset - 1, 1) != b"\n":
+        fault = "not_at_row_end"
+    return spark.createDataFrame([(path, fault)] if fault else [], "key string, fault string")
+
+
+def _digest(spark: SparkSession, path: str, length: int) -> str:
+    """sha256 of a file's first bytes, streamed by the JVM."""
+    jvm = spark.sparkContext._jvm
+    fs, p = _fs(spark, path)
+    handle = fs.open(p)
+    try:
+        some = jvm.org.apache.commons.io.input.BoundedInputStream(handle, length)
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(some)
+    finally:
+        handle.close()

@@ -98,6 +98,37 @@ def test_logs(spark, tmp_path):
             read()
 
 
+def test_broken_tails_are_told_by_their_place(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    file, path, schema = tmp_path / "log.jsonl", str(tmp_path / "log.jsonl"), StructType.fromDDL("a string")
+    read = lambda: [r["a"] for r in logs.read_log(spark, path, schema).collect()]
+    whole = '{"a":"\u00e9\u00fc"}\n'.encode()
+    file.write_bytes(whole + b'{"a":"\xc3')  # cut within a character
+    assert read() == ["\u00e9\u00fc"] and logs.repair_log(spark, path) and file.read_bytes() == whole and not logs.repair_log(spark, path)
+    file.write_bytes(whole + b'{"a":\n' + whole + b'{"a":')  # the same text within is no tail
+    with pytest.raises(Exception, match="not a JSON object"):
+        read()
+    file.write_bytes(b'{"a":')
+    assert read() == []
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = [f"row {i}" for i in range(2000)]
+        file.write_bytes("".join(logs.stable_json({"a": r}) + "\n" for r in rows).encode() + b'{"a":"row 7')
+        assert sorted(read()) == sorted(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_all_logs_are_repaired(spark, tmp_path):
+    (tmp_path / "score_observations.jsonl").write_bytes(b'{"a":1}')
+    (tmp_path / "candidate_events.jsonl").write_bytes(b'{"a":1}\n{"b"')
+    (tmp_path / "training_events.jsonl").write_bytes(b'{"a":1}\n')
+    assert logs.repair_logs(spark, str(tmp_path)) == ["candidate_events", "score_observations"]
+    assert (tmp_path / "candidate_events.jsonl").read_bytes() == (tmp_path / "score_observations.jsonl").read_bytes() == b'{"a":1}\n'
+    assert logs.repair_logs(spark, str(tmp_path)) == [] and len(list(tmp_path.iterdir())) == 3
+
+
 def test_prefix_and_documents(spark, tmp_path):
     import hashlib
 
@@ -211,6 +242,14 @@ def test_greedy_keeps_what_a_loop_keeps(spark):
     assert [r["rank"] for r in out] == kept
 
 
+def test_wave_evidence_is_the_most_over_its_threshold(spark):
+    from sievemill.operators import novelty
+
+    edges = spark.createDataFrame([(1, 4, 1, 0.95, 0.9, "wave"), (1, 4, 2, 0.8, 0.7, "sibling"), (1, 4, 3, 1.0, 0.7, "sibling"), (1, 5, 3, 1.0, 0.9, "wave")], "wave int, rank int, better int, maximum double, threshold double, reason string")
+    kept = spark.createDataFrame([(1, 1, True), (1, 2, True), (1, 3, False), (1, 4, False), (1, 5, True)], "wave int, rank int, kept boolean")
+    assert [tuple(r) for r in novelty.wave_evidence(edges, kept, "wave", "rank").collect()] == [(1, 4, "sibling", 2, 0.8)]
+
+
 def test_artifacts_are_made_once(spark, tmp_path):
     root, made = str(tmp_path), []
 
