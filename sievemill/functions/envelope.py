@@ -29,6 +29,10 @@ _DOMAIN = re.compile(r"<domain>(?P<d>.*?)</domain>\s*", re.DOTALL)
 _BALANCED = regex.compile(r"(?P<g>(?:[^][{}()]++|\((?&g)\)|\[(?&g)\]|\{(?&g)\})*+)")
 _TOP = regex.compile(r"[^][{}(),;]++|(?P<n>\((?:[^][{}()]++|(?&n))*+\)|\[(?:[^][{}()]++|(?&n))*+\]|\{(?:[^][{}()]++|(?&n))*+\})")
 
+_WRAPPED = regex.compile(r"\\\{(?P<inner>.*)\\\}|\{(?P<inner>.*)\}|\[(?P<inner>.*)\]", regex.DOTALL)
+_PART = r"(?P<item>(?:[^][{}(),;]++|(?&n))*+)"
+_ITEMS = regex.compile(r"(?(DEFINE)(?P<n>\((?:[^][{}()]++|(?&n))*+\)|\[(?:[^][{}()]++|(?&n))*+\]|\{(?:[^][{}()]++|(?&n))*+\}))" + f"{_PART}(?:[,;]{_PART})*")
+
 ENVELOPE_TYPE = "struct<question:string,domain:string,answer:string,reason:string>"
 
 
@@ -107,25 +111,12 @@ def plain_set(text: str) -> str:
 def finite_set(value: str | None) -> list[str] | None:
     """Elements of a set written out, split at separators outside all brackets; null if it is none or too large."""
     text = plain_set(value or "")
-    if text in EMPTY_SETS:
-        return []
-    for a, b in ((r"\{", r"\}"), ("{", "}"), ("[", "]")):
-        if text.startswith(a) and text.endswith(b):
-            text = text[len(a) : max(len(a), len(text) - len(b))].strip()
-            break
-    if not text:
+    wrapped = _WRAPPED.fullmatch(text)
+    inner = wrapped["inner"].strip() if wrapped else text
+    if text in EMPTY_SETS or not inner:
         return []
-    items, at, item = [], 0, ""
-    while at < len(text):
-        if text[at] in ",;":
-            items.append(item.strip())
-            item, at = "", at + 1
-            continue
-        piece = _TOP.match(text, at)
-        if not piece:
-            return None  # a bracket without its partner
-        item, at = item + piece[0], piece.end()
-    items.append(item.strip())
+    found = _ITEMS.fullmatch(inner)
+    items = [x.strip() for x in found.captures("item")] if found else [""]
     return items if all(items) and len(items) <= SET_ITEMS else None
 
 

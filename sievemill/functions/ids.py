@@ -52,3 +52,7 @@ def derived_seed(master: Column, namespace: str, iteration: Column, index: Colum
 def content_hash(value: Column) -> Column:
     """SHA-256 of a value's JSON; for structs, name the fields in ascending order."""
     return F.sha2(F.to_json(value), 256)
+
+
+def candidate_id(question: Column, answer: Column) -> Column:
+    return stable_id("cand", quoted(normalized(question)), quoted(F.regexp_replace(answer, r"(?U)^\s+|\s+$", "")))

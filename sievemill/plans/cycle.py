@@ -64,6 +64,12 @@ def more_cycles(state: State, config: Config) -> bool:
     return state.iteration < config.max_cycles and state.global_step < config.max_updates
 
 
+def phase_order(update_first: bool, ready: bool) -> tuple[str, ...]:
+    """Phases of a cycle after scoring: the update, if a batch is ready, comes before or after discovery, which then has the new policy's or the old one's names."""
+    update = ("batch_ready", "update_applied") if ready else ()
+    return (*update, "discovery", "ready") if update_first else ("discovery", *update, "ready")
+
+
 GATES = ["generation", "parse", "problem_type", "answer_contract"]
 
 
