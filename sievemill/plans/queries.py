@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sievemill.functions import ids
 from sievemill.functions import text as T
 from sievemill.functions.vocab import BAND, CONTAINMENT, NEAR, SHARED
-from sievemill.operators import audit, gates, grid, labeling, novelty, pairing, replay, scoring, selection, tables
+from sievemill.operators import audit, gates, grid, groups, labeling, novelty, pairing, replay, scoring, selection, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -523,3 +523,63 @@ def consumed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wave_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("wave"), F.col("o_custkey").alias("candidate_id"), F.col("o_orderstatus").alias("phase"), F.lit("passed").alias("status"))
     return replay.wave_funnel(log, "wave", {"parsed": "O", "labelled": "F"})
+
+
+# --- checks over tables --------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {DAILY} SELECT problem_id, iteration, rq FROM daily WHERE iteration = {DAY}")
+def score_at_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _daily(spark, sf_dir).withColumn("policy_version", F.lit(0)).withColumn("observation_id", F.col("problem_id"))
+    return grid.scores_at(rows, DAY).select("problem_id", "iteration", "rq")
+
+
+@query("SELECT user_id AS problem_id, side FROM (SELECT user_id, 'left' AS side FROM (SELECT user_id FROM events WHERE event_type = 'view' EXCEPT ALL SELECT user_id FROM events WHERE event_type = 'click') UNION ALL SELECT user_id, 'right' FROM (SELECT user_id FROM events WHERE event_type = 'click' EXCEPT ALL SELECT user_id FROM events WHERE event_type = 'view'))")
+def authorised_and_served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one table has and the other lacks, as multisets."""
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("problem_id"), "event_type")
+    return tables.same_keys(events.where("event_type = 'view'").select("problem_id"), events.where("event_type = 'click'").select("problem_id"), "problem_id")
+
+
+@query(f"""WITH {DAILY}, c AS (SELECT problem_id, iteration, s_hat, lag(iteration) OVER d AS si, lag(s_hat) OVER d AS ss FROM daily WINDOW d AS (PARTITION BY problem_id ORDER BY iteration))
+SELECT CAST(problem_id AS VARCHAR) || '/' || iteration AS key, 'lag' AS fault FROM c WHERE si IS NULL""")
+def candidate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of users as candidates whose selection evidence is that of the day before: the first day has none."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy("problem_id").orderBy("iteration")
+    rows = _daily(spark, sf_dir).select(F.concat_ws("/", "problem_id", "iteration").alias("observation_id"), F.col("problem_id").cast("string").alias("problem_id"), F.col("s_hat").alias("current_s"), F.col("iteration").alias("score_iteration"), F.lag("iteration").over(before).alias("selection_iteration"), F.lag("s_hat").over(before).alias("selection_s"))
+    return audit.candidate_checks(rows, 1)
+
+
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_returnflag) AS h, bool_and(l_linestatus = 'O') AS m FROM lineitem GROUP BY 1)
+SELECT CAST(l_orderkey AS VARCHAR) AS key, fault FROM g, (SELECT unnest(['group_size', 'one_payload', 'marked']) AS fault) WHERE (fault = 'group_size' AND n <> 4) OR (fault = 'one_payload' AND h <> 1) OR (fault = 'marked' AND NOT m)
+UNION ALL SELECT '*', 'groups' FROM (SELECT count(*) AS n FROM g) WHERE n <> 32""")
+def served_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("observation_id"), F.col("l_returnflag").alias("payload_hash"), (F.col("l_linestatus") == "O").alias("marked"))
+    return audit.served_checks(rows, 32, 4)
+
+
+@query("SELECT '*' AS key, fault FROM (SELECT count(DISTINCT p_brand) AS p, count(DISTINCT p_type) AS i, min(p_size) AS a, max(p_size) AS b, count(*) AS n, count(DISTINCT p_partkey) AS o FROM part), (SELECT unnest(['policy', 'iteration', 'group_size', 'observations']) AS fault) WHERE (fault = 'policy' AND p > 1) OR (fault = 'iteration' AND i > 1) OR (fault = 'group_size' AND (a <> 8 OR b <> 8)) OR (fault = 'observations' AND o <> n)")
+def buffer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part").select(F.col("p_brand").alias("policy"), F.col("p_type").alias("iteration"), F.col("p_size").alias("payload_rows"), F.col("p_partkey").alias("observation_id"))
+    return audit.buffer_checks(rows)
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS key, fault FROM (SELECT conv_id, count(DISTINCT nullif(text, '')) AS p, count(CASE WHEN role = 'user' THEN 1 END) AS n, count(*) AS c FROM conversations GROUP BY 1), (SELECT unnest(['one_prompt', 'one_kind']) AS fault) WHERE (fault = 'one_prompt' AND p > 1) OR (fault = 'one_kind' AND n <> 0 AND n <> c)""")
+def fragment_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as groups put together from attempts: one prompt each, and payloads of all turns or of none."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", F.col("text").alias("prompt_hash"), F.when(F.col("role") == "user", F.col("turn")).alias("payload_row"))
+    return groups.fragment_faults(rows, "conv_id")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS request_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn % 2, turn) - 1 AS BIGINT) AS sample_index, text FROM conversations")
+def fragments_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("request_id"), (F.col("turn") % 2).alias("attempt"), F.col("turn").alias("sample_index"), "text")
+    return groups.together(rows).select("request_id", long("sample_index"), "text")
+
+
+@query("SELECT l_orderkey AS request_id, collected, CASE WHEN collected < 4 THEN 'retrying' ELSE 'complete' END AS status, CASE WHEN collected < 4 THEN 'incomplete_label_group' END AS reason FROM (SELECT l_orderkey, count(*) FILTER (l_linestatus = 'O') AS collected FROM lineitem GROUP BY 1)")
+def label_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request_id"), F.when(F.col("l_linestatus") == "O", "accepted").otherwise("rejected").alias("status"))
+    return groups.label_statuses(rows, "request_id", 0, 2, 4)
