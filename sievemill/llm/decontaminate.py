@@ -53,10 +53,14 @@ def _seeds(df: DataFrame, masks: tuple[tuple[int, ...], ...], keep: list[str]) -
     return hashed.where("_h is not null")
 
 
-def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, item id, matched: most equal words of a window, start: where in the document the first window with enough begins)."""
-    doc = docs.select(F.col(id_col).alias("_d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(3)).alias("_k"), words(F.col(text_col)).alias("_w"))
-    item = items.select(F.col(item_col).alias("_i"), F.xxhash64(F.coalesce(F.col(item_text), F.lit("")), F.lit(3)).alias("_ik"), words(F.col(item_text)).alias("_w")).where(F.size("_w") > 0)
+def _key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")), F.lit(3))
+
+
+def _matches(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """(_d: id, _k: key of the text, _i: item id, matched, start), a row for each alignment with a window that has enough equal words."""
+    doc = docs.select(F.col(id_col).alias("_d"), _key(F.col(text_col)).alias("_k"), words(F.col(text_col)).alias("_w"))
+    item = items.select(F.col(item_col).alias("_i"), _key(F.col(item_text)).alias("_ik"), words(F.col(item_text)).alias("_w")).where(F.size("_w") > 0)
     size = F.size("_w")
     run = len(SHORT_MASK)
     of_long = _seeds(item.where(size >= SPAN), MASKS, ["_i", "_ik"])
@@ -72,16 +76,27 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     item = F.broadcast(item) if few[0] <= ITEM_ROWS and few[1] <= ITEM_WORDS else item
     longs = hits.join(item.select("_i", "_ik", size.alias("_n")), ["_i", "_ik"])
     pairs = longs.groupBy("_d", "_k").agg(F.collect_list(F.struct("_i", "_ik", "_o", "_n")).alias("_c"))
-    both = pairs.join(doc, (pairs["_d"].eqNullSafe(doc["_d"])) & (pairs["_k"] == doc["_k"])).select(pairs["_d"], "_w", F.explode_outer("_c").alias("_c"))
+    both = pairs.join(doc, (pairs["_d"].eqNullSafe(doc["_d"])) & (pairs["_k"] == doc["_k"])).select(pairs["_d"], pairs["_k"], "_w", F.explode_outer("_c").alias("_c"))
     from_ = F.greatest(F.lit(0), F.col("_c._o"))
-    both = both.select("_d", "_c._i", "_c._ik", "_c._o", (F.col("_c._o") - from_).alias("_before"), F.slice("_w", from_ + 1, F.col("_c._n")).alias("_dw"))
+    both = both.select("_d", "_k", "_c._i", "_c._ik", "_c._o", (F.col("_c._o") - from_).alias("_before"), F.slice("_w", from_ + 1, F.col("_c._n")).alias("_dw"))
     both = both.join(item.withColumnRenamed("_w", "_iw"), ["_i", "_ik"])
     flags = F.transform(F.col("_iw"), lambda x, j: F.when(F.get(F.col("_dw"), j + F.col("_before")) == x, 1).otherwise(0))
-    both = both.select("_d", "_i", "_o", flags.alias("_e"))
+    both = both.select("_d", "_k", "_i", "_o", flags.alias("_e"))
     size = F.least(F.size("_e"), F.lit(SPAN))
     need = F.when(size < SPAN, size - F.floor(size / 8)).otherwise(NEED).cast("int")
     sums = F.transform(F.sequence(F.lit(0), F.size("_e") - size), lambda s: F.aggregate(F.slice(F.col("_e"), s + 1, size), F.lit(0), lambda a, x: a + x))
-    both = both.select("_d", "_i", "_o", need.alias("_need"), sums.alias("_s"))
+    both = both.select("_d", "_k", "_i", "_o", need.alias("_need"), sums.alias("_s"))
     first = F.array_position(F.transform("_s", lambda x: x >= F.col("_need")), True) - 1 + F.col("_o")
-    best = both.select("_d", "_i", F.array_max("_s").alias("matched"), F.greatest(F.lit(0), first).cast("int").alias("start"), "_need").where("matched >= _need")
+    return both.select("_d", "_k", "_i", F.array_max("_s").alias("matched"), F.greatest(F.lit(0), first).cast("int").alias("start"), "_need").where("matched >= _need").drop("_need")
+
+
+def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(id, item id, matched: most equal words of a window, start: where in the document the first window with enough begins)."""
+    best = _matches(docs, items, id_col, text_col, item_col, item_text)
     return best.groupBy(F.col("_d").alias(id_col), F.col("_i").alias(item_col)).agg(F.max("matched").alias("matched"), F.min("start").alias("start"))
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that overlap no item, with all their columns. Rows are told apart by id and text, so a row of null id goes too if it overlaps one."""
+    gone = _matches(docs, items, id_col, text_col, "item_id", "text").select("_d", "_k").distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_d"]) & (_key(docs[text_col]) == gone["_k"]), "left_anti")

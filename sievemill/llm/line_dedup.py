@@ -8,7 +8,7 @@ shuffle and joined back by a join that Spark can split at a hot window; only the
 Defined cases: a null text stays null, one of fewer than three lines that are not blank stays as it is; blank lines are
 never removed unless all others go, when the text is empty; a window that repeats within its own document counts as
 repeated; rows of equal id and text are one occurrence, so neither is a copy of the other. Other columns come back as
-they are, whatever their names; names used within start with "_ld".
+they are, whatever their names, but for ones named as the two results, which those replace.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text cleaned, and _ld_lines (lines before), _ld_removed (positions removed, ascending; null: none)."""
+    own = {c: f"__in{i}_ld" for i, c in enumerate(docs.columns) if c.startswith("_ld")}
+    docs = docs.drop("_ld_lines", "_ld_removed").withColumnsRenamed(own)
     found = _windows(docs, id_col, text_col)
     place = F.struct("_ld_id", "_ld_k", F.get("_ld_at", F.lit(0)).alias("i"))
     first = found.groupBy("_ld_h1", "_ld_h2").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where("_first != _last").select("_ld_h1", "_ld_h2", "_first")
@@ -52,4 +54,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     left = F.array_except(F.sequence(F.lit(0), F.size("_ld_rows") - 1), F.col("_ld_removed"))
     text = F.array_join(F.transform(left, lambda i: F.get(F.col("_ld_rows"), i)), "\n")
     text = F.when(F.col("_ld_removed").isNull(), F.col(text_col)).when(F.trim(F.regexp_replace(text, r"\s+", "")) == "", "").otherwise(text)
-    return both.withColumn("_ld_lines", F.size("_ld_rows")).withColumn(text_col, text).drop("_ld_rows")
+    return both.withColumn("_ld_lines", F.size("_ld_rows")).withColumn(text_col, text).drop("_ld_rows").withColumnsRenamed({v: k for k, v in own.items()})

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from sievemill.llm import line_dedup as ld
 from sievemill.llm import queries
 
@@ -40,3 +42,14 @@ def test_repeated_rows_and_empty_tables(docs):
     got = sorted((str(r["doc_id"]), r["text"]) for r in ld.dedup_lines(docs(rows)).collect())
     assert got == [("1", "a\nb\nc"), ("1", "a\nb\nc"), ("2", ""), ("None", "k\nl\nm")]
     assert ld.dedup_lines(docs([])).count() == 0
+
+
+def test_columns_named_like_those_within(docs, prose):
+    text = "\n".join(prose(6, k) for k in range(4))
+    names = ["_ld_rows", "_ld_removed", "_ld_key", "_ld_id", "_ld_lines", "_f"]
+    rows = docs([(1, text), (2, text), (None, "x"), (3, None)])
+    for n in names:
+        rows = rows.withColumn(n, F.lit(n))
+    got = {r["doc_id"]: r for r in ld.dedup_lines(rows).collect()}
+    assert got[1]["_ld_removed"] is None and got[2]["_ld_removed"] == [0, 1, 2, 3] and got[2]["text"] == "" and got[1]["_ld_lines"] == 4
+    assert all(r[n] == n for r in got.values() for n in names if n not in ("_ld_removed", "_ld_lines")) and set(got) == {1, 2, 3, None}

@@ -38,3 +38,23 @@ def test_edges(docs):
     check(got, 16, 5)
     assert sorted((r["size"], r["text_crc32"]) for r in got) == [(1, 0)] * 4 + [(3, zlib.crc32("é".encode()))]
     assert sharding.interleave(docs([]), 16).count() == 0
+
+
+def test_order_equals_brute_force(spark):
+    """Rows in hash order within their source, by fractional rank, cut into equal runs."""
+    from fractions import Fraction
+
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.col("source").alias("s")).select("doc_id", "s", F.crc32("t").alias("c")).withColumn("u", F.shiftrightunsigned(F.xxhash64(F.lit(42), "doc_id", "c"), 1)).collect()
+    by: dict = {}
+    for r in sorted(hashed, key=lambda r: (r["u"], r["doc_id"])):
+        by.setdefault(r["s"], []).append(r)
+    rows = sorted((Fraction(2 * k + 1, 2 * len(own)), "" if s is None else "+" + s, r["u"], r["doc_id"]) for s, own in by.items() for k, r in enumerate(own))
+    n, want, seen = len(rows), {}, Counter()
+    for g, r in enumerate(rows):
+        shard = g * 16 // n
+        want[r[3]] = (shard, seen[shard])
+        seen[shard] += 1
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in queries.op6_sharding(spark, "/root/testdata/sf0.01").collect()} == want
