@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, written as Parquet and read again before the
 next; the last returns a row per document with its ids. A document is dropped for low quality, when line dedup leaves no
 text of it, when a near duplicate of smaller id stays, or when it overlaps a benchmark item. Documents of null id are
-scored and encoded like others; they are never a duplicate or contaminated, as nothing can name them.
+scored, decontaminated and encoded like others; they are never a duplicate, as no class can name them.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines of windows seen before; documents that lose all their text go. n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    own = {c: f"{c}_of_documents" for c in ("_ld_lines", "_ld_removed") if c in docs.columns}
+    out = line_dedup.dedup_lines(docs.withColumnsRenamed(own))
     out = out.where("_ld_removed is null or text != ''")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("_ld_removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return out.select(*docs.columns)
+    return out.drop(*own).withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
-    leaks = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
