@@ -382,3 +382,49 @@ def test_words_are_those_of_the_expression(spark, most, monkeypatch):
     assert list(map(len, want)) == list(map(len, got[:-1]))
     both = {pair for x, y in zip(want, got, strict=False) for pair in zip(x, y, strict=True)}
     assert len(both) == len({a for a, _ in both}) == len({b for _, b in both})
+
+
+@pytest.mark.parametrize(("parts", "tile"), [(1, 1 << 14), (3, 4)])
+def test_no_link_is_lost_behind_many_holders_of_parts(docs, prose, monkeypatch, parts, tile):
+    """Fourteen documents hold parts of a passage; before, between and after them two hold it with a word changed, nowhere equal over 50 words."""
+    monkeypatch.setattr(cw, "TILE", tile)
+    rows, want = [], {}
+    for k in range(30):
+        p = prose(80, 17_000 + k).split()
+        for n in range(14):
+            a = (0, 22, 44, 10, 33)[n % 5]
+            rows.append((40 * k + 2 * n, " ".join([prose(30, 20_000 + 40 * k + n), *p[a : a + 36], prose(30, 30_000 + 40 * k + n)])))
+        for i, places in ((40 * k + 9, ()), (40 * k + 23, (40,))):
+            rows.append((i, " ".join([prose(40, 40_000 + i), *(f"other{i}" if at in places else w for at, w in enumerate(p)), prose(40, 50_000 + i)])))
+            want[i] = set(range(42, 118))
+    got = found(cw.passages(docs(rows).repartitionByRange(parts, "doc_id")))
+    assert set(got) == set(want)
+    assert [i for i in want if not want[i] <= got[i]] == []
+
+
+@pytest.mark.parametrize("most", [3, 1 << 14])
+def test_contexts_that_meet_equal_all_pairs(most):
+    """Which passages of open rows another document of the cell repeats, against each pair and passage on its own."""
+    rng, n = np.random.default_rng(most), 0
+    for _ in range(12):
+        base, rows = rng.integers(0, 2**31, (3, 99)), []
+        for i in range(40):
+            t = base[i % 3].copy()
+            t[rng.choice(99, int(rng.integers(0, 14)), replace=False)] = rng.integers(0, 2**31)
+            t[: int(rng.integers(0, 40))] = rng.integers(0, 2**31, 1)
+            rows.append((i % 2, int(rng.integers(0, 15)), t.astype(np.int32)))
+        rows.sort(key=lambda r: r[:2])
+        cell, ids = (np.array([r[k] for r in rows], np.int64) for k in range(2))
+        open_ = rng.integers(0, 1 << cw.RUN, 40) * rng.integers(0, 2, 40)
+        whole = lambda v: np.full(40, v, np.int64)
+        got = {}
+        for a, b, x, y, size in cw.met_in_cells(cell, ids, whole(49), whole(0), whole(cw.SHIFT), open_, whole(-1), np.concatenate([r[2] for r in rows]), np.arange(41) * 99, most):
+            for i, j, u, v, w in zip(a.tolist(), b.tolist(), x.tolist(), y.tolist(), size.tolist(), strict=True):
+                assert cell[i] == cell[j] and ids[i] != ids[j] and (u, v, w) in plain_repeats(rows[i][2].tolist(), rows[j][2].tolist(), 0)
+                got.setdefault(j, set()).update(range(v, v + w - cw.PASSAGE + 1))
+        for j in range(40):
+            every = {s for i in range(40) if cell[i] == cell[j] and ids[i] != ids[j] for _, v, w in plain_repeats(rows[i][2].tolist(), rows[j][2].tolist(), 0) for s in range(v, v + w - cw.PASSAGE + 1)}
+            asked = {cw.SHIFT + k for k in range(cw.RUN) if open_[j] >> k & 1}
+            assert asked & every <= got.get(j, set()) <= every
+            n += len(asked & every)
+    assert n > 500
